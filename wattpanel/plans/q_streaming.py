@@ -1 +1,71 @@
-"""Queries (to be filled)."""
+"""Upsert and streaming refresh queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import clean as C
+from ..sources import fixtures as fx
+from ..streaming import feeds
+from . import features as FT
+from .q_panel import _target_family_sql
+from .registry import query
+
+KEY = [*FT.SEGMENT, "datetime"]
+
+_UPSERT_SQL = """
+WITH u AS (SELECT *, 0 AS b FROM panel
+           UNION ALL SELECT * REPLACE (target + 1 AS target), 1 AS b FROM panel WHERE row_id % 3 = 0)
+SELECT * EXCLUDE (b, rn) FROM (SELECT *, row_number() OVER (PARTITION BY county, is_business, product_type,
+  is_consumption, datetime ORDER BY b DESC) AS rn FROM u) WHERE rn = 1"""
+
+
+def _new_rows(spark, sf):
+    p = fx.panel(spark, sf)
+    return p.filter(F.col("row_id") % 3 == 0).withColumn("target", F.col("target") + 1)
+
+
+@query("upsert_latest", _UPSERT_SQL, ("panel",))
+def upsert_latest(spark, sf):
+    return C.upsert_latest(fx.panel(spark, sf), _new_rows(spark, sf), KEY)
+
+
+@query("stream_upsert", _UPSERT_SQL, ("panel",))
+def stream_upsert(spark, sf):
+    """Same content as ``upsert_latest``, arriving as two file drops through a stream."""
+    return feeds.stream_upsert(spark, [fx.panel(spark, sf), _new_rows(spark, sf)], KEY)
+
+
+def _day_drops(df, bounds=(11, 21)):
+    d = F.dayofmonth("datetime")
+    return [df.filter(d < bounds[0]), df.filter((d >= bounds[0]) & (d < bounds[1])), df.filter(d >= bounds[1])]
+
+
+@query("stream_features", _target_family_sql(), ("panel",))
+def stream_features(spark, sf):
+    """Target features refreshed per arriving batch of items; equals the batch ``lag_fallback``."""
+    panel = fx.panel(spark, sf)
+    items = panel.drop("target")
+    from ..operators.lags import lookback_min, lookback_prune
+
+    def build(batch):
+        start = lookback_min(batch, "datetime")
+        hist = lookback_prune(panel, "datetime", start, max(FT.TARGET_LAGS))
+        return FT.target_features(batch, hist)
+
+    return feeds.stream_features(spark, _day_drops(items), build)
+
+
+@query("stream_dedupe", """
+SELECT DISTINCT county, is_business, product_type, is_consumption, datetime FROM panel""", ("panel",))
+def stream_dedupe(spark, sf):
+    drops = [fx.panel(spark, sf), _new_rows(spark, sf)]
+    return feeds.stream_dedupe(spark, drops, KEY, "datetime").select(*KEY)
+
+
+@query("stream_sliding_sum")
+def stream_sliding_sum(spark, sf):
+    """Closed 7-day windows (every day) of the hourly target per county, as a live aggregate."""
+    p = fx.panel(spark, sf).select("county", "datetime", "target")
+    return feeds.stream_sliding_sum(spark, _day_drops(p), ["county"], "datetime", "target", "7 days", "1 day",
+                                    "target_7d")
