@@ -49,11 +49,12 @@ def lag_table(src: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
         c = cols[0]
         aggs = [F.max(F.when(F.col("_lag") == h, F.col(c))).alias(name(c, h)) for h in lags]
         return shifted.groupBy(*keys, ts).agg(*aggs)
-    packed = F.struct(*[F.col(c) for c in cols])
-    aggs = [F.max(F.when(F.col("_lag") == h, packed)).alias(f"_s{h}") for h in lags]
-    wide = shifted.groupBy(*keys, ts).agg(*aggs)
+    # One map lag -> struct(cols) per target row: a hash (object) aggregate holding at most
+    # len(lags) small entries per group, instead of a sort-based aggregate over structs.
+    packed = F.struct(*[F.col(f"`{c}`") for c in cols])
+    wide = shifted.groupBy(*keys, ts).agg(F.map_from_entries(F.collect_list(F.struct("_lag", packed))).alias("_m"))
     return wide.select(
-        *keys, ts, *[F.col(f"_s{h}").getField(c).alias(name(c, h)) for h in lags for c in cols]
+        *keys, ts, *[F.col("_m")[h].getField(c).alias(name(c, h)) for h in lags for c in cols]
     )
 
 

@@ -174,31 +174,60 @@ def weather_family(items: DataFrame, county_weather: DataFrame, cols: Sequence[s
 def integrated_family(items: DataFrame, county_weather: DataFrame, col: str, period_days: int, out: str,
                       lags: Sequence[int] = INTEGRATED_LAGS) -> DataFrame:
     """Sliding ``period_days`` sum per county, shifted 24/48 h to a date and joined."""
-    sl = sliding_sum(county_weather, ["county"], "datetime", col, f"{period_days} days", "1 day", out)
-    result = items
-    first = lags[0]
-    for h in lags:
-        name = out if h == first else f"{out}_h{h}"
-        s = sl.select("county", F.to_date(L.shift_hours("datetime", h)).alias("date"), F.col(out).alias(name))
-        result = result.join(s, on=["county", "date"], how="left")
-    return result
+    return integrated_families(items, county_weather, [(col, period_days, out)], lags)
 
 
-def historical_weather_features(items: DataFrame, hist_weather: DataFrame, stations_w: DataFrame,
-                                angle: str = "reference") -> DataFrame:
+def integrated_families(items: DataFrame, county_weather: DataFrame, specs: Sequence[tuple[str, int, str]],
+                        lags: Sequence[int] = INTEGRATED_LAGS) -> DataFrame:
+    """Several sliding sums (``(col, days, out)``), each computed once, lagged and joined in one pass.
+
+    The window tables are tiny (county x day); window ends fall on midnights, so a
+    shift by whole days lands on one date per county.
+    """
+    tables = [sliding_sum(county_weather, ["county"], "datetime", c, f"{d} days", "1 day", o) for c, d, o in specs]
+    sl = tables[0]
+    for t in tables[1:]:
+        sl = sl.join(t, on=["county", "datetime"], how="full")
+    outs = [o for _, _, o in specs]
+    lt = L.lag_table(sl, ["county"], "datetime", outs, lags, L.suffix_after_first(list(lags)))
+    lt = lt.withColumn("date", F.to_date("datetime")).drop("datetime")
+    return items.join(lt, on=["county", "date"], how="left")
+
+
+def county_hist_weather(hist_weather: DataFrame, stations_w: DataFrame, angle: str = "reference"
+                        ) -> tuple[DataFrame, list[str]]:
+    """Historical weather per (datetime, county), station-weighted."""
     hw, cols = prepare_hist_weather(hist_weather, angle)
-    cw = weather_to_county(hw, stations_w, cols)
+    return weather_to_county(hw, stations_w, cols), cols
+
+
+def county_forecast_weather(forecast_weather: DataFrame, stations_w: DataFrame, **kw) -> tuple[DataFrame, list[str]]:
+    """Forecast weather per (valid datetime, county), station-weighted."""
+    fw, cols = prepare_forecast_weather(forecast_weather, **kw)
+    return weather_to_county(fw, stations_w, cols), cols
+
+
+def historical_family(items: DataFrame, cw: DataFrame, cols: Sequence[str]) -> DataFrame:
     out = weather_family(items, cw, cols, "historical")
     return integrated_family(out, cw, "rain", 7, "rain_integrated_168h_historical")
 
 
+def forecast_family(items: DataFrame, cw: DataFrame, cols: Sequence[str]) -> DataFrame:
+    out = weather_family(items, cw, cols, "forecast")
+    return integrated_families(out, cw, [("rain", 7, "rain_integrated_168h_forecast"),
+                                         ("snowfall", 2, "snowfall_integrated_48h_forecast")])
+
+
+def historical_weather_features(items: DataFrame, hist_weather: DataFrame, stations_w: DataFrame,
+                                angle: str = "reference") -> DataFrame:
+    cw, cols = county_hist_weather(hist_weather, stations_w, angle)
+    return historical_family(items, cw, cols)
+
+
 def forecast_weather_features(items: DataFrame, forecast_weather: DataFrame, stations_w: DataFrame,
                               **kw) -> DataFrame:
-    fw, cols = prepare_forecast_weather(forecast_weather, **kw)
-    cw = weather_to_county(fw, stations_w, cols)
-    out = weather_family(items, cw, cols, "forecast")
-    out = integrated_family(out, cw, "rain", 7, "rain_integrated_168h_forecast")
-    return integrated_family(out, cw, "snowfall", 2, "snowfall_integrated_48h_forecast")
+    cw, cols = county_forecast_weather(forecast_weather, stations_w, **kw)
+    return forecast_family(items, cw, cols)
 
 
 def holiday_features(df: DataFrame) -> DataFrame:

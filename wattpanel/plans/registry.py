@@ -35,6 +35,7 @@ def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:
         q_metrics,
         q_models,
         q_panel,
+        q_pipeline,
         q_scalars,
         q_streaming,
         q_weather,
