@@ -83,10 +83,21 @@ def capacity_target(y: str = "target", capacity: str = "installed_capacity") ->
     return per_unit(y, capacity)
 
 
-def capacity_restore(raw, capacity: str = "installed_capacity") -> Column:
-    """Second-order prediction: clip(raw, 0) * capacity."""
+def capacity_restore(raw, capacity: str = "installed_capacity", clip_residual: bool = True) -> Column:
+    """Second-order prediction: clip(raw, 0) * capacity.
+
+    ``clip_residual=True`` is the reference's behaviour (Q11): a residual model can
+    then only raise the first order; ``False`` keeps negative corrections.
+    """
     r = F.col(raw) if isinstance(raw, str) else raw
-    return clip_floor(r) * F.col(capacity)
+    return (clip_floor(r) if clip_residual else r) * F.col(capacity)
+
+
+def merge_with_suffix(left: DataFrame, right: DataFrame, on: Sequence[str], suffix: str = "_client") -> DataFrame:
+    """Left join; right-side columns that clash with the left get ``suffix``."""
+    clash = [c for c in right.columns if c in left.columns and c not in on]
+    r = right.withColumnsRenamed({c: f"{c}{suffix}" for c in clash})
+    return left.join(r, on=list(on), how="left")
 
 
 def residual_target(y: str, first: str) -> Column:

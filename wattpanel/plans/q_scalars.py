@@ -302,3 +302,35 @@ def prediction_guard(spark, sf):
 
 
 __all__ = ["math"]
+
+
+# --- C13: train x client merge on six keys, clashing client columns suffixed ---------------------------
+_CN_SQL = ("SELECT CAST(n_nationkey AS BIGINT) AS county, array_to_string(list_transform(string_split("
+           "replace(n_name, ' ', '-'), '-'), lambda p: upper(left(p, 1)) || lower(substring(p, 2))), '-') "
+           "AS county_name FROM nation WHERE n_nationkey < 15")
+_PN_SQL = ("CASE product_type WHEN 0 THEN 'Combined' WHEN 1 THEN 'Fixed' WHEN 2 THEN 'General service' "
+           "WHEN 3 THEN 'Spot' END")
+
+
+@query("train_client_merge", f"""
+WITH cn AS ({_CN_SQL}),
+t AS (SELECT p.*, cn.county_name, {_PN_SQL} AS product_name, CAST(p.datetime AS DATE) AS date,
+  CAST(day(p.datetime) AS INTEGER) AS data_block_id FROM panel p LEFT JOIN cn USING (county)),
+c AS (SELECT c.*, cn.county_name, {_PN_SQL} AS product_name, CAST(day(c.date) AS INTEGER) + 2 AS data_block_id
+  FROM client c LEFT JOIN cn USING (county))
+SELECT t.* EXCLUDE (date), c.eic_count, c.installed_capacity, c.data_block_id AS data_block_id_client
+FROM t LEFT JOIN c ON c.county = t.county AND c.product_type = t.product_type AND c.is_business = t.is_business
+  AND c.county_name = t.county_name AND c.product_name = t.product_name AND c.date = t.date""", ("panel", "client"))
+def train_client_merge(spark, sf):
+    from .models import merge_with_suffix
+
+    n = read_table(spark, sf, "nation").filter(F.col("n_nationkey") < 15)
+    names = n.select(F.col("n_nationkey").cast("long").alias("county"),
+                     S.format_name(F.regexp_replace("n_name", " ", "-")).alias("county_name"))
+    t = fx.panel(spark, sf).join(F.broadcast(names), "county", "left").withColumns({
+        "product_name": S.product_name("product_type"), "date": F.to_date("datetime"),
+        "data_block_id": F.dayofmonth("datetime")})
+    c = fx.client(spark, sf).join(F.broadcast(names), "county", "left").withColumns({
+        "product_name": S.product_name("product_type"), "data_block_id": F.dayofmonth("date") + 2})
+    keys = ["county", "product_type", "is_business", "county_name", "product_name", "date"]
+    return merge_with_suffix(t, c, keys).drop("date")
