@@ -340,3 +340,20 @@ def eval_hist_vs_forecast(spark, sf):
     fc = swapped.select("fold", F.lit("forecast").alias("weather"),
                         F.abs(SO.solar_output(SO.DEFAULT_WEIGHTS) - F.col("target")).alias("err"))
     return hist.unionByName(fc).groupBy("fold", "weather").agg(F.avg("err").alias("mae"))
+
+
+def training_frame(spark, sf):
+    """Production and consumption rows with weather, client, calendar and per-eic lags."""
+    base = solar_frame(spark, sf, production_only=False).withColumns(FT.S.calendar_columns())
+    p = fx.panel(spark, sf)
+    norm = FT.normalised_target(p, fx.client(spark, sf))
+    lags = lag_fallback(p.select("row_id", *SEG, "datetime"), norm, "target_per_eic", [48, 168])
+    return base.join(lags.select("row_id", "target_per_eic_48h", "target_per_eic_168h"), "row_id", "left")
+
+
+@query("train_evaluate")
+def train_evaluate(spark, sf):
+    """Fold loop of the training job: fit, score on historical and on swapped-in forecast weather (3.2)."""
+    from .train import train_evaluate as run
+
+    return run(training_frame(spark, sf), ["2024-01-20"], solar_rounds=3)
