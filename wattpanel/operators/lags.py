@@ -118,6 +118,45 @@ def group_levels(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFra
     return finish(fine, LEVEL_TYPE), finish(coarse, LEVEL_COUNTY_TYPE)
 
 
+def lag_fallback_multi(left: DataFrame, src: DataFrame, specs: dict[str, tuple[Sequence[int], Sequence[int]]],
+                       keys: Sequence[str] = ("county", "is_business", "product_type", "is_consumption"),
+                       ts: str = "datetime") -> DataFrame:
+    """:func:`lag_fallback` for several value columns of one source in the same five joins.
+
+    ``specs`` maps a column to ``(lags, sum_lags)``.  Each join carries every
+    column at the union of the lags; columns at lags not asked for are dropped.
+    """
+    cols = list(specs)
+    all_lags = sorted({h for lg, _ in specs.values() for h in lg})
+    all_sum = sorted({h for _, sl in specs.values() for h in sl})
+    by_county, all_county = group_levels(src.select(*LEVEL_TYPE, "product_type", *cols), cols)
+    out = lag_join(left, src.select(*keys, ts, *cols), list(keys), ts, cols, all_lags, hours_suffix)
+    lvl1 = by_county.select(*LEVEL_TYPE, *[F.col(f"{c}_mean").alias(f"{c}_all_type_mean") for c in cols],
+                            *[F.col(f"{c}_sum").alias(f"{c}_all_type_sum") for c in cols])
+    lvl2 = all_county.select(*LEVEL_COUNTY_TYPE, *[F.col(f"{c}_mean").alias(f"{c}_all_county_type_mean") for c in cols],
+                             *[F.col(f"{c}_sum").alias(f"{c}_all_county_type_sum") for c in cols])
+    m1 = [f"{c}_all_type_mean" for c in cols]
+    m2 = [f"{c}_all_county_type_mean" for c in cols]
+    out = lag_join(out, lvl1.select(*LEVEL_TYPE, *m1), LEVEL_TYPE[1:], ts, m1, all_lags, hours_suffix)
+    out = lag_join(out, lvl2.select(*LEVEL_COUNTY_TYPE, *m2), LEVEL_COUNTY_TYPE[1:], ts, m2, all_lags, hours_suffix)
+    if all_sum:
+        s1 = [f"{c}_all_type_sum" for c in cols]
+        s2 = [f"{c}_all_county_type_sum" for c in cols]
+        out = lag_join(out, lvl1.select(*LEVEL_TYPE, *s1), LEVEL_TYPE[1:], ts, s1, all_sum, hours_suffix)
+        out = lag_join(out, lvl2.select(*LEVEL_COUNTY_TYPE, *s2), LEVEL_COUNTY_TYPE[1:], ts, s2, all_sum,
+                       hours_suffix)
+    out = out.withColumns({
+        f"{c}_{h}h": F.coalesce(F.col(f"{c}_{h}h"), F.col(f"{c}_all_type_mean_{h}h"),
+                                F.col(f"{c}_all_county_type_mean_{h}h"))
+        for c in cols for h in specs[c][0]
+    })
+    drop = []
+    for c, (lg, sl) in specs.items():
+        drop += [f"{c}{m}_{h}h" for h in all_lags if h not in lg for m in ("", "_all_type_mean", "_all_county_type_mean")]
+        drop += [f"{c}{m}_{h}h" for h in all_sum if h not in sl for m in ("_all_type_sum", "_all_county_type_sum")]
+    return out.drop(*drop)
+
+
 def lag_fallback(left: DataFrame, src: DataFrame, col: str, lags: Sequence[int], sum_lags: Sequence[int] = (),
                  keys: Sequence[str] = ("county", "is_business", "product_type", "is_consumption"),
                  ts: str = "datetime", prefix: str | None = None) -> DataFrame:

@@ -79,7 +79,7 @@ def target_features(items: DataFrame, target: DataFrame) -> DataFrame:
     })
 
 
-def normalised_target(target: DataFrame, client: DataFrame) -> DataFrame:
+def normalised_target(target: DataFrame, client: DataFrame, keep_target: bool = False) -> DataFrame:
     """Target per eic and per capacity with the same-day client."""
     t = target.withColumn("date", F.to_date("datetime"))
     c = client.select("county", "is_business", "product_type", "date", "eic_count", "installed_capacity")
@@ -88,7 +88,7 @@ def normalised_target(target: DataFrame, client: DataFrame) -> DataFrame:
         "eic_count": F.coalesce("eic_count", F.lit(0.0)),
     })
     return j.select(
-        "datetime", *SEGMENT,
+        "datetime", *SEGMENT, *(["target"] if keep_target else []),
         S.per_unit("target", "eic_count").alias("target_per_eic"),
         S.per_unit("target", "installed_capacity").alias("target_per_capacity"),
     )
@@ -97,14 +97,24 @@ def normalised_target(target: DataFrame, client: DataFrame) -> DataFrame:
 def target_norm_features(items: DataFrame, target: DataFrame, client: DataFrame) -> DataFrame:
     """Normalised target lags with fallback, sums, stats and ratios."""
     norm = normalised_target(target, client)
-    out = items
-    for name in ("eic", "capacity"):
-        out = L.lag_fallback(out, norm, f"target_per_{name}", NORM_LAGS, SUM_LAGS)
+    specs = {f"target_per_{n}": (NORM_LAGS, SUM_LAGS) for n in ("eic", "capacity")}
+    out = L.lag_fallback_multi(items, norm, specs)
     for name in ("eic", "capacity"):
         out = _target_stats_and_ratios(out, f"target_per_{name}")
     return out
 
 
+def all_target_features(items: DataFrame, target: DataFrame, client: DataFrame) -> DataFrame:
+    """Target and normalised-target families in one pass: five joins for all three columns."""
+    norm = normalised_target(target, client, keep_target=True)
+    specs = {"target": (TARGET_LAGS, SUM_LAGS),
+             "target_per_eic": (NORM_LAGS, SUM_LAGS), "target_per_capacity": (NORM_LAGS, SUM_LAGS)}
+    out = L.lag_fallback_multi(items, norm, specs)
+    for p in specs:
+        out = _target_stats_and_ratios(out, p)
+    return target_norm_diff_features(out)
+
+
 def target_norm_diff_features(df: DataFrame) -> DataFrame:
     """Differences of per-eic lags and their median / q25 / q75 (H13, D8 nearest)."""
     p = "target_per_eic"
