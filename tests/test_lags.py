@@ -70,3 +70,25 @@ def test_lookback_prune_is_literal(spark):
     start = L.lookback_min(p.filter(F.col("datetime") >= F.lit("2024-01-04").cast("timestamp")), "datetime")
     pruned = L.lookback_prune(p, "datetime", start, 24)
     assert pruned.agg(F.min("datetime")).first()[0] == dt.datetime(2024, 1, 3)
+
+
+def test_window_strategy_equals_chain(spark):
+    p = _panel(spark)
+    items = p.drop("target")
+    src = p.select(*SEG, "datetime", "target")
+    lags = [0, 24, 48, 72]
+    a = L.lag_join(items, src, SEG, "datetime", ["target"], lags, strategy="window").orderBy("row_id").collect()
+    b = L.lag_join_chain(items, src, SEG, "datetime", ["target"], lags).orderBy("row_id").collect()
+    assert [r.asDict() for r in a] == [r.asDict() for r in b]
+
+
+def test_window_strategy_chunk_halo_and_future_items(spark):
+    # small chunks force rows to meet their lags through the halo; items later than all source rows
+    p = _panel(spark)
+    src = p.select("county", "datetime", "target").groupBy("county", "datetime").agg(F.sum("target").alias("v"))
+    later = p.select("row_id", "county", (F.col("datetime") + F.expr("INTERVAL 2 DAYS")).alias("datetime"))
+    nm = L.suffix_after_first([0, 24, 48])
+    t = L.lag_table_window(later, src, ["county"], "datetime", ["v"], [0, 24, 48], nm, chunk_hours=50)
+    a = later.join(t, ["county", "datetime"], "left").orderBy("row_id").collect()
+    b = L.lag_join_chain(later, src, ["county"], "datetime", ["v"], [0, 24, 48], nm).orderBy("row_id").collect()
+    assert [r.asDict() for r in a] == [r.asDict() for r in b]

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LagNamer = Callable[[str, int], str]
@@ -59,9 +59,49 @@ def lag_table(src: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
 
 
 def lag_join(left: DataFrame, src: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
-             lags: Sequence[int], name: LagNamer = hours_suffix) -> DataFrame:
-    """Left join of ``src`` shifted by every lag in ``lags`` onto ``left``."""
-    return left.join(lag_table(src, keys, ts, cols, lags, name), on=[*keys, ts], how="left")
+             lags: Sequence[int], name: LagNamer = hours_suffix, strategy: str | None = None) -> DataFrame:
+    """Left join of ``src`` shifted by every lag in ``lags`` onto ``left``.
+
+    ``strategy``: ``"pivot"`` (explode-shift-pivot, shuffles ``len(lags)`` copies
+    of the source) or ``"window"`` (time-chunked range-frame window, shuffles the
+    source once plus a halo of ``max(lags)``); default from the session conf
+    ``wattpanel.lag.strategy`` (``pivot``).
+    """
+    strategy = strategy or left.sparkSession.conf.get("wattpanel.lag.strategy", "pivot")
+    if strategy == "window":
+        table = lag_table_window(left, src, keys, ts, cols, lags, name)
+    else:
+        table = lag_table(src, keys, ts, cols, lags, name)
+    return left.join(table, on=[*keys, ts], how="left")
+
+
+def lag_table_window(left: DataFrame, src: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
+                     lags: Sequence[int], name: LagNamer, chunk_hours: int | None = None) -> DataFrame:
+    """Same result as :func:`lag_table`, restricted to the (keys, ts) of ``left``.
+
+    Source rows and the left side's distinct (keys, ts) (with null values) are
+    unioned; time is cut into chunks and every chunk also receives the source rows
+    of the ``max(lags)`` hours before it.  One window per (keys, chunk), ordered by
+    epoch seconds, reads each lag as the single-point frame ``[t - h, t - h]``.
+    """
+    lags = [int(h) for h in lags]
+    max_lag = max(lags) * 3600
+    chunk = (chunk_hours or max(24 * 90, 4 * max(lags))) * 3600
+    types = dict(src.dtypes)
+    s = src.select(*keys, ts, *[F.col(f"`{c}`") for c in cols], F.lit(False).alias("_item"))
+    it = left.select(*keys, ts).distinct().select(
+        *keys, ts, *[F.lit(None).cast(types[c]).alias(c) for c in cols], F.lit(True).alias("_item"))
+    u = s.unionByName(it).withColumn("_t", F.unix_seconds(F.col(ts).cast("timestamp")))
+    u = u.withColumn("_chunk", F.floor(F.col("_t") / chunk))
+    halo = (~F.col("_item")) & (F.col("_t") >= (F.col("_chunk") + 1) * chunk - max_lag) if max_lag else F.lit(False)
+    u = u.select("*", F.explode(F.when(halo, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+                 .alias("_halo"))
+    u = u.withColumn("_chunk", F.when(F.col("_halo"), F.col("_chunk") + 1).otherwise(F.col("_chunk")))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_t")
+    vals = {name(c, h): F.max(F.when(~F.col("_item"), F.col(f"`{c}`"))).over(w.rangeBetween(-h * 3600, -h * 3600))
+            for h in lags for c in cols}
+    out = u.select(*keys, ts, "_item", "_halo", *[v.alias(k) for k, v in vals.items()])
+    return out.filter(F.col("_item") & ~F.col("_halo")).drop("_item", "_halo")
 
 
 def lag_join_chain(left: DataFrame, src: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],

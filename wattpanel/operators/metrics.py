@@ -1,9 +1,9 @@
 """Errors, baselines and summary statistics.
 
-Global exact quantiles are taken from a distributed sort (range partitioning and
-partition offsets) instead of one aggregation buffer holding every value; grouped
-ones use Spark's exact ``percentile`` aggregate, whose buffer is bounded by the
-number of distinct values of a group.
+Exact quantiles, global or per group, are taken from a distributed sort (range
+partitioning and partition offsets) instead of an aggregation buffer holding every
+value of a group, so a group holding a third of all rows is still spread over
+many tasks.
 """
 
 from __future__ import annotations
@@ -45,6 +45,35 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list[float
     return out
 
 
+def grouped_exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float],
+                            names: Sequence[str] | None = None) -> DataFrame:
+    """Linear-interpolated quantiles of ``col`` per group, without one buffer per group.
+
+    Rows are numbered in the global order (keys, value) by range partitioning, so a
+    hot group is spread over many tasks; each group's first index gives within-group
+    ranks; a small table of wanted ranks (groups x quantiles x 2) picks the
+    neighbouring values, which are interpolated per group.  Returns keys + one
+    column per quantile.
+    """
+    names = list(names or [f"q{int(round(q * 100))}" for q in qs])
+    vals = df.select(*keys, F.col(col).cast("double").alias("_v")).filter(
+        F.col("_v").isNotNull() & ~F.isnan("_v"))
+    idx = global_row_index(vals, [*keys, "_v"], "_i")
+    first = idx.groupBy(*keys).agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    want = first.select(*keys, "_first", "_n", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in zip(names, qs)])).alias("_w"))
+    pos = (F.col("_n") - 1).cast("double") * F.col("_w.q")
+    want = want.select(*keys, "_first", F.col("_w.name").alias("_name"), pos.alias("_pos"))
+    want = want.select("*", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))).alias("_r")).select(
+        *keys, "_name", "_pos", (F.col("_first") + F.col("_r")).alias("_i"), F.col("_r"))
+    picked = idx.join(want, on=[*keys, "_i"], how="inner")
+    lo_hi = picked.groupBy(*keys, "_name", "_pos").agg(
+        F.min_by("_v", "_r").alias("_a"), F.max_by("_v", "_r").alias("_b"), F.min("_r").alias("_lo"))
+    interp = F.col("_a") + (F.col("_pos") - F.col("_lo")) * (F.col("_b") - F.col("_a"))
+    res = lo_hi.groupBy(*keys).pivot("_name", names).agg(F.first(interp))
+    return res
+
+
 def quantile_filter(df: DataFrame, cols: Sequence[str], q: float) -> DataFrame:
     """Rows strictly above each column's own q-quantile."""
     cond = F.lit(True)
@@ -65,9 +94,13 @@ def describe(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
     """count, mean, std, min, 25%, 50%, 75%, max."""
     c = F.col(col)
     aggs = [F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-            F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.5).alias("q50"), F.percentile(c, 0.75).alias("q75"),
             F.max(c).alias("max")]
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    if not keys:
+        q25, q50, q75 = exact_quantiles(df, col, [0.25, 0.5, 0.75])
+        return df.agg(*aggs).withColumns({"q25": F.lit(q25), "q50": F.lit(q50), "q75": F.lit(q75)})
+    moments = df.groupBy(*keys).agg(*aggs)
+    qs = grouped_exact_quantiles(df, keys, col, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
+    return moments.join(qs, on=list(keys), how="left")
 
 
 def group_mae(df: DataFrame, keys: Sequence[str], pred: str, y: str, out: str = "mae") -> DataFrame:
@@ -96,5 +129,5 @@ def worst_groups(df: DataFrame, keys: Sequence[str], pred: str, y: str, q: float
 
 def segment_median_baseline(train: DataFrame, val: DataFrame, segment: str, y: str) -> DataFrame:
     """Per-segment median of the training target joined to validation rows."""
-    med = train.groupBy(segment).agg(F.percentile(F.col(y), 0.5).alias("pred"))
+    med = grouped_exact_quantiles(train, [segment], y, [0.5], ["pred"])
     return val.join(med, on=segment, how="inner")
