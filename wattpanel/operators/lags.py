@@ -175,16 +175,15 @@ def lag_fallback_multi(left: DataFrame, src: DataFrame, specs: dict[str, tuple[S
                             *[F.col(f"{c}_sum").alias(f"{c}_all_type_sum") for c in cols])
     lvl2 = all_county.select(*LEVEL_COUNTY_TYPE, *[F.col(f"{c}_mean").alias(f"{c}_all_county_type_mean") for c in cols],
                              *[F.col(f"{c}_sum").alias(f"{c}_all_county_type_sum") for c in cols])
-    m1 = [f"{c}_all_type_mean" for c in cols]
-    m2 = [f"{c}_all_county_type_mean" for c in cols]
-    out = lag_join(out, lvl1.select(*LEVEL_TYPE, *m1), LEVEL_TYPE[1:], ts, m1, all_lags, hours_suffix)
-    out = lag_join(out, lvl2.select(*LEVEL_COUNTY_TYPE, *m2), LEVEL_COUNTY_TYPE[1:], ts, m2, all_lags, hours_suffix)
-    if all_sum:
-        s1 = [f"{c}_all_type_sum" for c in cols]
-        s2 = [f"{c}_all_county_type_sum" for c in cols]
-        out = lag_join(out, lvl1.select(*LEVEL_TYPE, *s1), LEVEL_TYPE[1:], ts, s1, all_sum, hours_suffix)
-        out = lag_join(out, lvl2.select(*LEVEL_COUNTY_TYPE, *s2), LEVEL_COUNTY_TYPE[1:], ts, s2, all_sum,
-                       hours_suffix)
+    # One join per level: means and (when asked) sums travel in the same lag table.
+    both = sorted(set(all_lags) | set(all_sum))
+    m1 = [f"{c}_all_type_mean" for c in cols] + ([f"{c}_all_type_sum" for c in cols] if all_sum else [])
+    m2 = [f"{c}_all_county_type_mean" for c in cols] + ([f"{c}_all_county_type_sum" for c in cols] if all_sum else [])
+    out = lag_join(out, lvl1.select(*LEVEL_TYPE, *m1), LEVEL_TYPE[1:], ts, m1, both, hours_suffix)
+    out = lag_join(out, lvl2.select(*LEVEL_COUNTY_TYPE, *m2), LEVEL_COUNTY_TYPE[1:], ts, m2, both, hours_suffix)
+    extra = [h for h in both if h not in all_lags]
+    out = out.drop(*[f"{c}{m}_{h}h" for c in cols for h in extra
+                     for m in ("_all_type_mean", "_all_county_type_mean")])
     out = out.withColumns({
         f"{c}_{h}h": F.coalesce(F.col(f"{c}_{h}h"), F.col(f"{c}_all_type_mean_{h}h"),
                                 F.col(f"{c}_all_county_type_mean_{h}h"))
@@ -193,7 +192,8 @@ def lag_fallback_multi(left: DataFrame, src: DataFrame, specs: dict[str, tuple[S
     drop = []
     for c, (lg, sl) in specs.items():
         drop += [f"{c}{m}_{h}h" for h in all_lags if h not in lg for m in ("", "_all_type_mean", "_all_county_type_mean")]
-        drop += [f"{c}{m}_{h}h" for h in all_sum if h not in sl for m in ("_all_type_sum", "_all_county_type_sum")]
+        if all_sum:
+            drop += [f"{c}{m}_{h}h" for h in both if h not in sl for m in ("_all_type_sum", "_all_county_type_sum")]
     return out.drop(*drop)
 
 
@@ -209,24 +209,6 @@ def lag_fallback(left: DataFrame, src: DataFrame, col: str, lags: Sequence[int],
     ``{p}_all_county_type_sum_{h}h`` are added.
     """
     p = prefix or col
-    lags = list(lags)
-    by_county, all_county = group_levels(src.select(*LEVEL_TYPE, "product_type", col), [col])
-    src_own = src.select(*keys, ts, F.col(col).alias(p))
-    out = lag_join(left, src_own, list(keys), ts, [p], lags, hours_suffix)
-    out = lag_join(out, by_county.select(*LEVEL_TYPE[1:], ts, F.col(f"{col}_mean").alias(f"{p}_all_type_mean")),
-                   LEVEL_TYPE[1:], ts, [f"{p}_all_type_mean"], lags, hours_suffix)
-    out = lag_join(out, all_county.select(*LEVEL_COUNTY_TYPE[1:], ts,
-                                          F.col(f"{col}_mean").alias(f"{p}_all_county_type_mean")),
-                   LEVEL_COUNTY_TYPE[1:], ts, [f"{p}_all_county_type_mean"], lags, hours_suffix)
-    out = out.withColumns({
-        f"{p}_{h}h": F.coalesce(F.col(f"{p}_{h}h"), F.col(f"{p}_all_type_mean_{h}h"),
-                                F.col(f"{p}_all_county_type_mean_{h}h"))
-        for h in lags
-    })
-    if sum_lags:
-        out = lag_join(out, by_county.select(*LEVEL_TYPE[1:], ts, F.col(f"{col}_sum").alias(f"{p}_all_type_sum")),
-                       LEVEL_TYPE[1:], ts, [f"{p}_all_type_sum"], sum_lags, hours_suffix)
-        out = lag_join(out, all_county.select(*LEVEL_COUNTY_TYPE[1:], ts,
-                                              F.col(f"{col}_sum").alias(f"{p}_all_county_type_sum")),
-                       LEVEL_COUNTY_TYPE[1:], ts, [f"{p}_all_county_type_sum"], sum_lags, hours_suffix)
-    return out
+    if p != col:
+        src = src.withColumnRenamed(col, p)
+    return lag_fallback_multi(left, src, {p: (list(lags), list(sum_lags))}, keys, ts)
