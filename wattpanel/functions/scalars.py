@@ -107,6 +107,8 @@ def forecast_valid_time(origin: str = "origin_datetime", hours: str = "hours_ahe
 
 def ratio(num, den, eps: float = RATIO_EPS) -> Column:
     """num / (den + eps); a zero denominator gives null, not an error."""
+    if isinstance(num, str) and isinstance(den, str):
+        return F.expr(f"try_divide(`{num}`, `{den}` + {float(eps)!r}D)")
     return F.try_divide(_c(num), _c(den) + F.lit(eps))
 
 

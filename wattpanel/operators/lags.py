@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 LagNamer = Callable[[str, int], str]
 
 
+def _q(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
 def suffix_after_first(lags: Sequence[int]) -> LagNamer:
     """Reference naming: the first lag keeps the plain name, the others get ``_h{lag}``."""
     first = lags[0]
@@ -53,8 +57,8 @@ def lag_table(src: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
     # len(lags) small entries per group, instead of a sort-based aggregate over structs.
     packed = F.struct(*[F.col(f"`{c}`") for c in cols])
     wide = shifted.groupBy(*keys, ts).agg(F.map_from_entries(F.collect_list(F.struct("_lag", packed))).alias("_m"))
-    return wide.select(
-        *keys, ts, *[F.col("_m")[h].getField(c).alias(name(c, h)) for h in lags for c in cols]
+    return wide.selectExpr(
+        *[_q(k) for k in [*keys, ts]], *[f"_m[{h}].{_q(c)} AS {_q(name(c, h))}" for h in lags for c in cols]
     )
 
 
@@ -185,8 +189,8 @@ def lag_fallback_multi(left: DataFrame, src: DataFrame, specs: dict[str, tuple[S
     out = out.drop(*[f"{c}{m}_{h}h" for c in cols for h in extra
                      for m in ("_all_type_mean", "_all_county_type_mean")])
     out = out.withColumns({
-        f"{c}_{h}h": F.coalesce(F.col(f"{c}_{h}h"), F.col(f"{c}_all_type_mean_{h}h"),
-                                F.col(f"{c}_all_county_type_mean_{h}h"))
+        f"{c}_{h}h": F.expr(f"coalesce({_q(f'{c}_{h}h')}, {_q(f'{c}_all_type_mean_{h}h')}, "
+                            f"{_q(f'{c}_all_county_type_mean_{h}h')})")
         for c in cols for h in specs[c][0]
     })
     drop = []
