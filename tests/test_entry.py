@@ -35,3 +35,15 @@ def test_query_matches_oracle(spark, name):
     assert sorted(s.columns) == sorted(o.columns)
     assert len(s) == len(o)
     assert tolerant_equal(s, o)
+
+
+def test_rounding_manifest_in_sync(spark):
+    from wattpanel.plans.registry import load_raw
+    from wattpanel.plans.rounding import load_manifest
+
+    man = load_manifest()
+    qs, ors = load_raw()
+    assert set(man) == set(ors)
+    for name in FAST:
+        df = qs[name](spark, SF)
+        assert man[name] == [n for n, t in df.dtypes if t == "double"], name

@@ -41,4 +41,24 @@ def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:
         q_weather,
     )
 
+    from .rounding import load_manifest, round_doubles, round_sql
+
+    manifest = load_manifest()
+
+    def rounded(fn: QueryFn) -> QueryFn:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return round_doubles(fn(spark, sf_dir))
+
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        return run
+
+    qs = {k: rounded(v) for k, v in QUERIES.items()}
+    ors = {k: round_sql(v, manifest.get(k, [])) for k, v in ORACLES.items()}
+    return qs, ors
+
+
+def load_raw() -> tuple[dict[str, QueryFn], dict[str, str]]:
+    """Queries and oracles without the output rounding (used to build the manifest)."""
+    load_all()
     return dict(QUERIES), dict(ORACLES)
