@@ -122,8 +122,9 @@ hi AS (SELECT * FROM sn WHERE snowfall_historical > (SELECT quantile_cont(snowfa
 
 
 def _snow(spark, sf):
-    h, _ = county_hist(spark, sf)
-    f, _ = county_forecast(spark, sf)
+    sw = fx.station_weights(spark, sf)
+    h, _ = county_hist(spark, sf, sw)
+    f, _ = county_forecast(spark, sf, sw)
     return h.select("county", "datetime", F.col("snowfall").alias("snowfall_historical")).join(
         f.select("county", "datetime", F.col("snowfall").alias("snowfall_forecast")), ["county", "datetime"])
 

@@ -40,8 +40,9 @@ def solar_frame(spark, sf, production_only: bool = True):
     if production_only:
         p = p.filter(F.col("is_consumption") == 0)
     items = FT.client_features(FT.with_date(p), fx.client(spark, sf)).drop("date")
-    hcw, _ = county_hist(spark, sf)
-    fcw, _ = county_forecast(spark, sf)
+    sw = fx.station_weights(spark, sf)
+    hcw, _ = county_hist(spark, sf, sw)
+    fcw, _ = county_forecast(spark, sf, sw)
     h = hcw.select("county", "datetime", *[F.col(c).alias(f"{c}_historical") for c in _WX])
     f = fcw.select("county", "datetime", *[F.col(c).alias(f"{c}_forecast") for c in _WX],
                    F.col("surface_solar_radiation_downwards").alias("surface_solar_radiation_downwards_forecast"))

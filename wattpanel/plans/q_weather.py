@@ -49,18 +49,20 @@ fcw AS (SELECT datetime, county, {_wsum(FC_COLS)} FROM fw JOIN station_weights U
 WX_FIX = ("hist_weather", "forecast_weather", "station_weights")
 
 
-def county_hist(spark, sf):
+def county_hist(spark, sf, stations_w=None):
     hw, cols = FT.prepare_hist_weather(fx.hist_weather(spark, sf))
-    return weather_to_county(hw, fx.station_weights(spark, sf), cols), cols
+    sw = stations_w if stations_w is not None else fx.station_weights(spark, sf)
+    return weather_to_county(hw, sw, cols), cols
 
 
 def _forecast_input(spark, sf):
     return fx.forecast_weather(spark, sf).withColumnsRenamed({"u10": U, "v10": V})
 
 
-def county_forecast(spark, sf):
+def county_forecast(spark, sf, stations_w=None):
     fw, cols = FT.prepare_forecast_weather(_forecast_input(spark, sf))
-    return weather_to_county(fw, fx.station_weights(spark, sf), cols), cols
+    sw = stations_w if stations_w is not None else fx.station_weights(spark, sf)
+    return weather_to_county(fw, sw, cols), cols
 
 
 @query("weather_to_county", f"WITH {HCW_CTE} SELECT * FROM hcw", WX_FIX)
@@ -167,8 +169,9 @@ def _weather_diff_sql():
 @query("weather_diffs", _weather_diff_sql(), ("panel",) + WX_FIX)
 def weather_diffs(spark, sf):
     items = _items(spark, sf)
-    hcw, hcols = county_hist(spark, sf)
-    fcw, fcols = county_forecast(spark, sf)
+    sw = fx.station_weights(spark, sf)
+    hcw, hcols = county_hist(spark, sf, sw)
+    fcw, fcols = county_forecast(spark, sf, sw)
     df = FT.weather_family(items, hcw, hcols, "historical", DIFF_HLAGS)
     df = FT.weather_family(df, fcw, fcols, "forecast", DIFF_HLAGS)
     diffs = S.weather_diff_columns(DIFF_FEATURES, FT.DIFFS)

@@ -69,10 +69,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
     The check reads at most ``max_rows + 1`` rows.  Beyond the bound the frame is
     returned unhinted, so the join falls back to a shuffle join (and AQE may still
-    pick a broadcast at run time from real sizes).
+    pick a broadcast at run time from real sizes).  A frame proven small stays
+    cached, so the proof and the broadcast compute it once (a lost block is simply
+    recomputed from lineage).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    cached = df.cache()
+    n = cached.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df
 
 
 def scratch_dir(prefix: str = "wattpanel-") -> str:
