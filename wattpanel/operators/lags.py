@@ -49,9 +49,9 @@ def lag_table(src: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
     shifted = src.select(
         *keys, ts, *cols, F.explode(F.array(*[F.lit(h) for h in lags])).alias("_lag")
     ).withColumn(ts, shift_hours(ts, F.col("_lag")))
-    if len(cols) == 1:
-        c = cols[0]
-        aggs = [F.max(F.when(F.col("_lag") == h, F.col(c))).alias(name(c, h)) for h in lags]
+    if len(cols) * len(lags) <= 100:
+        # Narrow sources: one max(when) per (column, lag), a plain hash aggregate.
+        aggs = [F.max(F.when(F.col("_lag") == h, F.col(f"`{c}`"))).alias(name(c, h)) for h in lags for c in cols]
         return shifted.groupBy(*keys, ts).agg(*aggs)
     # One map lag -> struct(cols) per target row: a hash (object) aggregate holding at most
     # len(lags) small entries per group, instead of a sort-based aggregate over structs.

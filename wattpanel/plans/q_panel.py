@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rowstats
-from ..functions import scalars as S
 from ..operators import lags as L
 from ..sources import fixtures as fx
 from . import features as FT
@@ -326,6 +325,3 @@ def lookback_prune(spark, sf):
     start = L.lookback_min(items, "datetime")
     return L.lookback_prune(fx.hist_weather(spark, sf), "datetime", start, 360)
 
-
-# --- H13 on the target itself ---------------------------------------------------------------------
-__all__ = ["S"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -301,8 +299,6 @@ def prediction_guard(spark, sf):
     return guard_predictions(b, "pred", "scored", ["date"]).select("row_id", "date", "target")
 
 
-__all__ = ["math"]
-
 
 # --- C13: train x client merge on six keys, clashing client columns suffixed ---------------------------
 _CN_SQL = ("SELECT CAST(n_nationkey AS BIGINT) AS county, array_to_string(list_transform(string_split("
