@@ -36,8 +36,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Settings the library depends on; safe to call on an existing session."""
+    """Settings the library depends on; safe to call on an existing session.
+
+    Broadcasts come only from explicit, row-bounded hints (``bounded_broadcast``) or
+    from AQE, which converts a join at run time from the *measured* size of a
+    finished shuffle stage.  Plan-time estimates are not trusted for this: they do
+    not follow the fan-out of ``explode``, which every lag table uses.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
     ensure_checkpoint_dir(spark)
     return spark
 
