@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import reliable, text_key, text_or_empty
 
 SEED = 42
+KEYED_ROWS = 20_000  # nodes whose keys one task makes
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, width)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 _PLACE = (np.arange(8) * 256).astype(np.int64)
@@ -197,6 +198,7 @@ def link(prints: DataFrame, max_distance: int = 3) -> DataFrame:
     nodes = nodes.join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("comp", "fp").alias("comp"))
     if max_distance > 1:
         nodes = reliable(nodes)
+        nodes = nodes.repartition(1 + nodes.count() // KEYED_ROWS)  # a node becomes about 85 key rows
         mine = _keyed(nodes, False)
         other = _keyed(nodes, True).select("key", F.col("fp").alias("fp2"), F.col("comp").alias("comp2"))
         more = (
