@@ -39,6 +39,24 @@ def text_key() -> list[Column]:
     return [F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit("second"), F.length(t), t).alias("_k2")]
 
 
+def row_name() -> list[Column]:
+    """Null-free columns that name a row: doc_id, whether it is null, and the text's hashes."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), *text_key()]
+
+
+ROW_NAME = ["_id", "_none", "_k1", "_k2"]
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns in one struct, so that theirs and an operator's names never meet."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("_row")
+
+
+def unpacked(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` from the struct, some replaced."""
+    return [changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the root and of its inverse, at least ``n`` of them."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:

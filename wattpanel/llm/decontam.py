@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import reliable, text_key, text_or_empty
+from .common import ROW_NAME, packed, reliable, row_name, text_key, text_or_empty, unpacked
 
 MASKS = ("1101101011", "1011010111", "1110010111")
 WINDOW = 15
@@ -67,7 +67,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     """doc_id, _k1, _k2, item_id, first_word, item_words, matched (equal words in the best window) and overlap (their share)."""
     if len({len(m) for m in masks}) != 1:
         raise ValueError("masks must have one length")
-    named = docs.select(F.col("doc_id"), *text_key(), _word_hashes(text_or_empty()).alias("hw"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), _word_hashes(text_or_empty()).alias("hw"))
     rows = _seeds(named, masks)
     items = reliable(benchmark.select("item_id", _word_hashes(text_or_empty()).alias("hw")).filter(F.size("hw") >= len(masks[0])))
     out = None
@@ -92,7 +92,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item; columns unchanged."""
     found = overlaps(docs, benchmark, **options)
-    hit = reliable(found.select(F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "_k1", "_k2").distinct())
-    keys = ["_id", "_none", "_k1", "_k2"]
-    named = docs.select("*", F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), *text_key())
-    return named.join(hit, keys, "left_anti").select(*docs.columns)
+    hit = reliable(found.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "_k1", "_k2").distinct())
+    return docs.select(packed(docs), *row_name()).join(hit, ROW_NAME, "left_anti").select(*unpacked(docs))

@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags.  First pass: blocks inside boiler
 adverts, notices, comments, told by tag, role, class or id) and blocks of links are bad; blocks with enough text and enough
 stop words are good; the rest are ambiguous.  Second pass: an ambiguous block takes the class of its nearest decided neighbours, of
 which the edge of an article counts as good and the edge of the page as bad.  Where a page marks its
-article (``article``, ``main``), only blocks inside it can be good; elsewhere every block is judged by the rules alone.
+article (``article``, ``main``), only blocks inside it can be good, and boilerplate elements set into it are no neighbours;
+elsewhere every block is judged by the rules alone.
 
 Null html is empty and gives empty text; cut-off tags end the page; a page is worked on alone, row by row, so rows, ids and
 columns do not matter to each other and very long pages cost time in proportion to their length.
@@ -214,7 +215,7 @@ def classify(found: list[Block]) -> list[bool]:
     before: list[tuple[bool, int]] = []
     seen: tuple[bool, int] = (marked, -1)
     for i in range(n):
-        if decided[i] is not None and (not marked or found[i].article):
+        if decided[i] is not None and not (marked and (found[i].bad or not found[i].article)):
             seen = (bool(decided[i]), i)
         before.append(seen)
     out = [False] * n
@@ -222,7 +223,7 @@ def classify(found: list[Block]) -> list[bool]:
     for i in range(n - 1, -1, -1):
         if decided[i] is not None:
             out[i] = bool(decided[i])
-            if not marked or found[i].article:
+            if not (marked and (found[i].bad or not found[i].article)):
                 after = (bool(decided[i]), i)
             continue
         left, right = before[i], after

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, reliable, string_buffers, text_key, text_or_empty, word_hashes
+from .common import ROW_NAME, mix64, packed, reliable, row_name, string_buffers, text_key, text_or_empty, unpacked, word_hashes
 
 BUCKETS = 1 << 20
 BLOCK = 32
@@ -113,7 +113,7 @@ def weigh(texts: pa.Array, ratio: np.ndarray, block: int = BLOCK) -> np.ndarray:
     return out
 
 
-def _uniform(*parts: F.Column) -> F.Column:
+def _uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit("gumbel"), *parts), 11).cast("double") + 0.5) * F.lit(2.0**-53)
 
 
@@ -182,5 +182,4 @@ def select(docs: DataFrame, labels: DataFrame, k: int | None = None, keep: float
     """The rows of ``docs`` that importance resampling keeps; columns unchanged."""
     found = resample(docs, labels, k, keep)
     kept = reliable(found.filter("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "_k1", "_k2").distinct())
-    named = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), *text_key())
-    return named.join(kept, ["_id", "_none", "_k1", "_k2"], "left_semi").select(*docs.columns)
+    return docs.select(packed(docs), *row_name()).join(kept, ROW_NAME, "left_semi").select(*unpacked(docs))

@@ -4,7 +4,7 @@ All rolling word k-grams of the documents are hashed and joined to the positions
 templates have the same k-gram.  A hit votes for the diagonal (document position minus template position); votes are
 counted per (document, template, diagonal), neighbouring diagonals (a word added or left
 out shifts the rest by one) are merged, and a merged span is verified: it must cover ``COVER`` of the template's words (all of a template under ``SHORT`` words) inside a span not much
-longer than the template.  Base phrases are found word by word beside this and always stay.
+longer than the template, and no overlapping span may cover its own template better.  Base phrases are found word by word beside this and always stay.
 
 Words are runs of letters, digits and non-ASCII characters of the lower-cased text.  Null text is empty; identical rows (doc_id and text) get identical results,
 each row one; templates shorter than ``K`` words are refused.  Template k-grams are broadcast in blocks of ``BLOCK_GRAMS``.
@@ -97,7 +97,11 @@ def spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, k
         fits = (F.col("cover") >= F.when(F.col("words") < SHORT, 1.0).otherwise(COVER)) & (F.col("last") + k - F.col("first") <= F.col("words") * SLACK + NEIGHBOURS)
         found = merged.select("doc_id", "_k1", "_k2", "label", "cover", F.col("first").cast("long").alias("first_word"), (F.col("last") + (k - 1)).cast("long").alias("last_word"), fits.alias("verified"))
         out = found if out is None else out.unionByName(found)
-    return out
+    reach = int(max(2 * len(text.split()) for _, text in templates) * SLACK) + NEIGHBOURS  # no verified span is longer
+    around = Window.partitionBy("doc_id", "_k1", "_k2").orderBy("first_word").rangeBetween(-reach, reach)
+    near = F.collect_list(F.when(F.col("verified"), F.struct("first_word", "last_word", "cover"))).over(around)
+    beaten = F.expr("exists(near, x -> x.first_word <= last_word and x.last_word >= first_word and x.cover > cover)")
+    return out.withColumn("near", near).withColumn("verified", F.col("verified") & ~beaten).drop("near")
 
 
 def _places(phrase: str) -> Column:

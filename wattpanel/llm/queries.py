@@ -138,7 +138,7 @@ r AS (SELECT d.*, t.rank, t.source_size, t.target, substr(k, 1, 3) AS block,
 b AS (SELECT rank, block, sum(size)::BIGINT AS words, any_value(floor(target - whole * source_size + 0.5))::BIGINT AS goal FROM r GROUP BY rank, block),
 c AS (SELECT rank, block, words, goal - coalesce(sum(words) OVER (PARTITION BY rank ORDER BY md5(concat_ws('|', 'mix-1', rank::VARCHAR, block)), block
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM b),
-g AS (SELECT r.*, c.rest, c.words, coalesce(sum(size) OVER (PARTITION BY r.rank, r.block ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-        FROM r JOIN c ON r.rank = c.rank AND r.block = c.block)
-SELECT doc_id, size, source_size, target, (whole * size + CASE WHEN rest <= 0 THEN 0 WHEN rest >= words THEN size ELSE greatest(0, least(size, rest - before)) END)::BIGINT AS taken FROM g""",
+g AS (SELECT r.*, c.rest, c.words, count(*) OVER same AS n, sum(size) OVER (PARTITION BY r.rank, r.block ORDER BY k RANGE UNBOUNDED PRECEDING) - sum(size) OVER same AS before
+        FROM r JOIN c ON r.rank = c.rank AND r.block = c.block WINDOW same AS (PARTITION BY r.rank, r.block, k))
+SELECT doc_id, size, source_size, target, (whole * size + CASE WHEN rest <= 0 THEN 0 WHEN rest >= words THEN size ELSE greatest(0, least(n * size, rest - before)) // n END)::BIGINT AS taken FROM g""",
 }

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import reliable
@@ -84,15 +84,16 @@ def parse(messages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-_CONV = [F.coalesce("conv_id", F.lit(0)).alias("c"), F.col("conv_id").isNull().alias("nc")]
+def _conv() -> list[Column]:
+    return [F.coalesce("conv_id", F.lit(0)).alias("c"), F.col("conv_id").isNull().alias("nc")]
 
 
 def replies(parsed: DataFrame) -> DataFrame:
     """c, nc, turn, parent, n_linked: for every message name that quotes an earlier message."""
     timed = parsed.filter("turn is not null")
-    wanted = timed.filter("size(quoted) > 0").select(*_CONV, "turn", F.explode("quoted").alias("q")).select("c", "nc", "turn", "q.level", "q.hash").distinct()
+    wanted = timed.filter("size(quoted) > 0").select(*_conv(), "turn", F.explode("quoted").alias("q")).select("c", "nc", "turn", "q.level", "q.hash").distinct()
     named = wanted.select("c", "nc", "hash").distinct()
-    origin = timed.select(*_CONV, "turn", F.explode("own").alias("hash")).join(named, ["c", "nc", "hash"], "left_semi").groupBy("c", "nc", "hash").agg(F.min("turn").alias("origin"))
+    origin = timed.select(*_conv(), "turn", F.explode("own").alias("hash")).join(named, ["c", "nc", "hash"], "left_semi").groupBy("c", "nc", "hash").agg(F.min("turn").alias("origin"))
     links = wanted.join(origin, ["c", "nc", "hash"]).filter("origin < turn")
     votes = links.groupBy("c", "nc", "turn", "level", "origin").agg(F.count(F.lit(1)).alias("n"))
     best = F.max(F.struct((-F.col("level")).alias("l"), "n", "origin"))

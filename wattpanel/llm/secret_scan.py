@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import packed, text_or_empty, unpacked
 
 # fixed values: the base patterns and their least lengths
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -210,8 +210,9 @@ def redact(docs: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> DataFra
 
         return texts.map(one, na_action="ignore")
 
-    out = docs.withColumn("_masked", mask(F.col("text")))
+    out = docs.select(packed(docs), mask(F.col("text")).alias("_masked"))
+    changed = {"text": F.col("_masked")}
     if "n_chars" in docs.columns:
-        changed = F.col("_masked") != F.col("text")
-        out = out.withColumn("n_chars", F.when(changed, F.length("_masked").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_masked")).select(*docs.columns)
+        n = F.col("_row").getField("n_chars")
+        changed["n_chars"] = F.when(F.col("_masked") != F.col("_row").getField("text"), F.length("_masked").cast("long")).otherwise(n)
+    return out.select(*unpacked(docs, **changed))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import reliable, text_key, text_or_empty
+from .common import ROW_NAME, packed, reliable, row_name, text_key, text_or_empty, unpacked
 
 SEED = 42
 KEYED_ROWS = 20_000  # nodes whose keys one task makes
@@ -233,12 +233,11 @@ def deduplicate(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> Dat
     """
     found = near_duplicates(docs, shingle, max_distance)
     name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_k1"), F.col("_k2"))
-    kept = found.groupBy("comp").agg(F.min(name).alias("m"), F.count(F.lit(1)).alias("rows")).select("m.*", "rows")
-    kept = reliable(kept.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("none").alias("_none"), "_k1", "_k2"))
-    named = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), *text_key())
-    keys = ["_id", "_none", "_k1", "_k2"]
-    rows = named.join(kept, keys, "left_semi")
-    many = reliable(found.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "_k1", "_k2").count().filter("count > 1").drop("count"))
-    single = rows.join(many, keys, "left_anti")
-    repeated = rows.join(many, keys, "left_semi").dropDuplicates(keys)
-    return single.unionByName(repeated).select(*docs.columns)
+    kept = found.groupBy("comp").agg(F.min(name).alias("m")).select("m.*")
+    id_, none = F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")
+    kept = reliable(kept.select(id_, none, "_k1", "_k2"))
+    many = reliable(found.groupBy(id_, none, "_k1", "_k2").count().filter("count > 1").drop("count"))
+    rows = docs.select(packed(docs), *row_name()).join(kept, ROW_NAME, "left_semi")
+    single = rows.join(many, ROW_NAME, "left_anti")
+    repeated = rows.join(many, ROW_NAME, "left_semi").dropDuplicates(ROW_NAME)
+    return single.unionByName(repeated).select(*unpacked(docs))
