@@ -134,7 +134,7 @@ def format_name(name) -> Column:
     """Per hyphen part: first letter upper, rest lower."""
     parts = F.split(_c(name), "-")
     return F.array_join(
-        F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20)))),
+        F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2))))),
         "-",
     )
 

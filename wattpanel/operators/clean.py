@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bounded_broadcast
@@ -24,19 +24,26 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], batch_col
     """Append ``new`` to ``old`` keeping one row per key, the latest batch winning (G1).
 
     ``old`` rows get batch 0 and ``new`` rows batch 1 unless a ``batch_col`` is
-    present already.  The de-duplication is a window per key, i.e. tiny groups.
+    present already.  Both sides must have the same columns.
     """
     def tag(df: DataFrame, b: int) -> DataFrame:
         return df if batch_col in df.columns else df.withColumn(batch_col, F.lit(b).cast("long"))
 
-    both = tag(old, 0).unionByName(tag(new, 1), allowMissingColumns=True)
-    return latest_per_key(both, keys, batch_col)
+    old, new = tag(old, 0), tag(new, 1)
+    if set(old.columns) != set(new.columns):
+        raise ValueError(f"upsert needs equal columns: {sorted(set(old.columns) ^ set(new.columns))} are on one side only")
+    return latest_per_key(old.unionByName(new), keys, batch_col)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], batch_col: str = "_batch") -> DataFrame:
-    """One row per key: the one with the highest ``batch_col`` (latest wins)."""
-    w = Window.partitionBy(*keys).orderBy(F.col(batch_col).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", batch_col)
+    """One row per key: the one with the highest ``batch_col`` (latest wins), ties by the other columns in order.
+
+    An aggregate, so rows of a key are combined before the shuffle.
+    """
+    rest = [c for c in df.columns if c not in keys and c != batch_col]
+    best = F.max(F.struct(F.col(batch_col).alias("_b"), *[F.col(f"`{c}`") for c in rest])).alias("_best")
+    picked = df.groupBy(*keys).agg(best)
+    return picked.select(*[F.col(f"`{c}`") if c in keys else F.col("_best").getField(c).alias(c) for c in df.columns if c != batch_col])
 
 
 def gap_shift_fill(df: DataFrame, ts: str, copy_from, copy_to, cut, shift_hours: int = 48) -> DataFrame:

@@ -49,10 +49,14 @@ def lag_table(src: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
     shifted = src.select(
         *keys, ts, *cols, F.explode(F.array(*[F.lit(h) for h in lags])).alias("_lag")
     ).withColumn(ts, shift_hours(ts, F.col("_lag")))
-    if len(cols) * len(lags) <= 100:
-        # Narrow sources: one max(when) per (column, lag), a plain hash aggregate.
+    if len(cols) * len(lags) <= 100 and len(lags) < 63:
+        # Narrow sources: one max(when) per (column, lag), a plain hash aggregate.  As in the wide form, a duplicated
+        # source key is an error: then the sum of the lags' bits differs from their union.
         aggs = [F.max(F.when(F.col("_lag") == h, F.col(f"`{c}`"))).alias(name(c, h)) for h in lags for c in cols]
-        return shifted.groupBy(*keys, ts).agg(*aggs)
+        bit = F.element_at(F.create_map(*[x for i, h in enumerate(lags) for x in (F.lit(h), F.lit(1 << i))]), F.col("_lag")).cast("long")
+        table = shifted.groupBy(*keys, ts).agg(*aggs, F.try_sum(bit).alias("_bits"), F.bit_or(bit).alias("_union"))
+        unique = F.assert_true(F.col("_bits").eqNullSafe(F.col("_union")), "DUPLICATED source key in a lag table")
+        return table.filter(unique.isNull()).drop("_bits", "_union")
     # One map lag -> struct(cols) per target row: a hash (object) aggregate holding at most
     # len(lags) small entries per group, instead of a sort-based aggregate over structs.
     packed = F.struct(*[F.col(f"`{c}`") for c in cols])
@@ -90,7 +94,7 @@ def lag_table_window(left: DataFrame, src: DataFrame, keys: Sequence[str], ts: s
     """
     lags = [int(h) for h in lags]
     max_lag = max(lags) * 3600
-    chunk = (chunk_hours or max(24 * 90, 4 * max(lags))) * 3600
+    chunk = max(chunk_hours or max(24 * 90, 4 * max(lags)), max(lags)) * 3600  # a halo reaches into one chunk
     types = dict(src.dtypes)
     s = src.select(*keys, ts, *[F.col(f"`{c}`") for c in cols], F.lit(False).alias("_item"))
     it = left.select(*keys, ts).distinct().select(

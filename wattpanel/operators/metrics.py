@@ -1,9 +1,8 @@
 """Errors, baselines and summary statistics.
 
-Exact quantiles, global or per group, are taken from a distributed sort (range
-partitioning and partition offsets) instead of an aggregation buffer holding every
-value of a group, so a group holding a third of all rows is still spread over
-many tasks.
+Exact quantiles, global or per group, come from counts of distinct values in a distributed order
+(range partitioning and partition offsets) instead of an aggregation buffer holding every
+value of a group: neither a group nor a tied value with a third of all rows lands in one task.
 """
 
 from __future__ import annotations
@@ -11,11 +10,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
-from .windows import global_row_index
+from ..session import cut_lineage
 
 
 def abs_err(pred, y) -> F.Column:
@@ -24,54 +22,66 @@ def abs_err(pred, y) -> F.Column:
     return F.abs(p - t)
 
 
+def _value_counts(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """keys, _v, _c and _upto: the distinct values of each group with their counts, and the rows up to and including each in
+    the global order (keys, value).
+
+    Equal values are counted before anything is ordered, so ties (however many) are one row.
+    """
+    vals = df.select(*keys, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counted = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*keys, "_v"]
+    parts = cut_lineage(counted.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
+    before = parts.groupBy("_pid").agg(F.sum("_c").alias("_s")).withColumn(
+        "_off", F.coalesce(F.sum("_s").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    run = F.sum("_c").over(Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("_run", run).join(F.broadcast(before.select("_pid", "_off")), "_pid").select(  # a row a partition
+        *keys, "_v", "_c", (F.col("_run") + F.col("_off")).alias("_upto"))
+
+
+def _at_rank(rank: F.Column, lo: F.Column, hi: F.Column) -> F.Column:
+    return F.max(F.when((lo <= rank) & (rank <= hi), F.col("_v")))
+
+
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list[float | None]:
     """Linear-interpolated quantiles of the non-null values (pandas/NumPy default)."""
-    vals = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    n = vals.count()
+    counts = cut_lineage(_value_counts(df, [], col))
+    n = counts.agg(F.sum("_c")).first()[0] or 0
     if n == 0:
         return [None for _ in qs]
-    want = {}
-    for q in qs:
-        pos = (n - 1) * q
-        want[q] = (pos, math.floor(pos), math.ceil(pos))
-    need = sorted({i for _, lo, hi in want.values() for i in (lo, hi)})
-    idx = global_row_index(vals, ["_v"], "_i")
-    got = {r["_i"]: r["_v"] for r in idx.filter(F.col("_i").isin(need)).collect()}
-    out = []
-    for q in qs:
-        pos, lo, hi = want[q]
-        a, b = got[lo], got[hi]
-        out.append(a + (pos - lo) * (b - a))
-    return out
+    lo, hi = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
+    spots = [(n - 1) * q for q in qs]
+    row = counts.agg(*[_at_rank(F.lit(f(p)), lo, hi) for p in spots for f in (math.floor, math.ceil)]).first()
+    return [row[2 * i] + (p - math.floor(p)) * (row[2 * i + 1] - row[2 * i]) for i, p in enumerate(spots)]
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on ``keys`` where null equals null; the left side's key columns stay."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def grouped_exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float],
                             names: Sequence[str] | None = None) -> DataFrame:
     """Linear-interpolated quantiles of ``col`` per group, without one buffer per group.
 
-    Rows are numbered in the global order (keys, value) by range partitioning, so a
-    hot group is spread over many tasks; each group's first index gives within-group
-    ranks; a small table of wanted ranks (groups x quantiles x 2) picks the
-    neighbouring values, which are interpolated per group.  Returns keys + one
-    column per quantile.
+    Distinct values are counted and numbered in the global order (keys, value), so neither a hot group
+    nor a hot value lands in one task; a group's wanted ranks are picked by a partial aggregate.
+    Null keys are a group.  Returns keys + one column per quantile.
     """
     names = list(names or [f"q{int(round(q * 100))}" for q in qs])
-    vals = df.select(*keys, F.col(col).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v"))
-    idx = global_row_index(vals, [*keys, "_v"], "_i")
-    first = idx.groupBy(*keys).agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
-    want = first.select(*keys, "_first", "_n", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in zip(names, qs)])).alias("_w"))
-    pos = (F.col("_n") - 1).cast("double") * F.col("_w.q")
-    want = want.select(*keys, "_first", F.col("_w.name").alias("_name"), pos.alias("_pos"))
-    want = want.select("*", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))).alias("_r")).select(
-        *keys, "_name", "_pos", (F.col("_first") + F.col("_r")).alias("_i"), F.col("_r"))
-    picked = idx.join(want, on=[*keys, "_i"], how="inner")
-    lo_hi = picked.groupBy(*keys, "_name", "_pos").agg(
-        F.min_by("_v", "_r").alias("_a"), F.max_by("_v", "_r").alias("_b"), F.min("_r").alias("_lo"))
-    interp = F.col("_a") + (F.col("_pos") - F.col("_lo")) * (F.col("_b") - F.col("_a"))
-    res = lo_hi.groupBy(*keys).pivot("_name", names).agg(F.first(interp))
-    return res
+    counts = cut_lineage(_value_counts(df, keys, col))
+    groups = counts.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_c")).alias("_start"), F.sum("_c").alias("_n"))
+    rows = null_safe(counts, groups, keys, "inner")
+    lo, hi = F.col("_upto") - F.col("_c") - F.col("_start"), F.col("_upto") - 1 - F.col("_start")
+    aggs = []
+    for i, q in enumerate(qs):
+        pos = (F.col("_n") - 1).cast("double") * F.lit(float(q))
+        aggs += [_at_rank(F.floor(pos), lo, hi).alias(f"_a{i}"), _at_rank(F.ceil(pos), lo, hi).alias(f"_b{i}"), F.max(pos - F.floor(pos)).alias(f"_f{i}")]
+    picked = rows.groupBy(*keys).agg(*aggs)
+    return picked.select(*keys, *[(F.col(f"_a{i}") + F.col(f"_f{i}") * (F.col(f"_b{i}") - F.col(f"_a{i}"))).alias(x) for i, x in enumerate(names)])
 
 
 def quantile_filter(df: DataFrame, cols: Sequence[str], q: float) -> DataFrame:
@@ -100,7 +110,7 @@ def describe(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
         return df.agg(*aggs).withColumns({"q25": F.lit(q25), "q50": F.lit(q50), "q75": F.lit(q75)})
     moments = df.groupBy(*keys).agg(*aggs)
     qs = grouped_exact_quantiles(df, keys, col, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
-    return moments.join(qs, on=list(keys), how="left")
+    return null_safe(moments, qs, keys, "left")
 
 
 def group_mae(df: DataFrame, keys: Sequence[str], pred: str, y: str, out: str = "mae") -> DataFrame:
@@ -123,11 +133,12 @@ def worst_groups(df: DataFrame, keys: Sequence[str], pred: str, y: str, q: float
     (thr,) = exact_quantiles(g, "mae", [q])
     high = g.filter(F.col("mae") >= F.lit(thr))
     worst = high.orderBy(F.col("mae").desc(), *keys).limit(1).select(*keys)
-    rows = df.join(bounded_broadcast(worst, 1), on=list(keys), how="left_semi")
+    top = F.broadcast(worst.select(*[F.col(k).alias(f"_w_{k}") for k in keys]))  # one row
+    rows = df.join(top, [df[k].eqNullSafe(F.col(f"_w_{k}")) for k in keys], "left_semi")
     return high, rows
 
 
 def segment_median_baseline(train: DataFrame, val: DataFrame, segment: str, y: str) -> DataFrame:
     """Per-segment median of the training target joined to validation rows."""
     med = grouped_exact_quantiles(train, [segment], y, [0.5], ["pred"])
-    return val.join(med, on=segment, how="inner")
+    return null_safe(val, med, [segment], "inner")

@@ -107,6 +107,7 @@ def rolling_rows_by_value(df: DataFrame, order: Sequence[str], value: str, n: in
     Rows get a global index; buckets of ``bucket_rows`` consecutive rows each also
     receive the ``n - 1`` rows before them, so every frame lies inside one bucket.
     """
+    bucket_rows = max(bucket_rows, n)  # a halo reaches into one bucket
     idx = global_row_index(df, order, "_idx")
     b = F.floor(F.col("_idx") / bucket_rows)
     halo = (F.col("_idx") % bucket_rows) >= bucket_rows - (n - 1)

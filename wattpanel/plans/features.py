@@ -129,15 +129,6 @@ def target_norm_diff_features(df: DataFrame) -> DataFrame:
     return df
 
 
-# Column families of the weather inputs.
-HIST_RAW = ["temperature", "dewpoint", "rain", "snowfall", "surface_pressure", "cloudcover_total", "cloudcover_low",
-            "cloudcover_mid", "cloudcover_high", "windspeed_10m", "winddirection_10m", "shortwave_radiation",
-            "direct_solar_radiation", "diffuse_radiation"]
-FORECAST_RAW = ["temperature", "dewpoint", "cloudcover_high", "cloudcover_low", "cloudcover_mid", "cloudcover_total",
-                "10_metre_u_wind_component", "10_metre_v_wind_component", "direct_solar_radiation",
-                "surface_solar_radiation_downwards", "snowfall", "total_precipitation"]
-
-
 def prepare_hist_weather(hw: DataFrame, angle: str = "reference", u: str = "10_metre_u_wind_component",
                          v: str = "10_metre_v_wind_component") -> tuple[DataFrame, list[str]]:
     """Wind components, fog and humidity; drop the direction (H4-H7)."""

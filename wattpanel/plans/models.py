@@ -151,11 +151,3 @@ def weighted_average(cols: Sequence[str], weights: Sequence[float] | None = None
 def route(production: str, consumption: str, flag: str = "is_consumption") -> Column:
     """Production rows take one model, consumption rows the other."""
     return F.when(F.col(flag) == 0, F.col(production)).otherwise(F.col(consumption))
-
-
-def route_by_split(df: DataFrame, key: str, prod_fn, cons_fn, flag: str = "is_consumption",
-                   out: str = "prediction") -> DataFrame:
-    """Filter + score + union form of the router; rows keep their key for reuniting."""
-    p = prod_fn(df.filter(F.col(flag) == 0)).select(key, out)
-    c = cons_fn(df.filter(F.col(flag) == 1)).select(key, out)
-    return df.join(p.unionByName(c), on=key, how="left")

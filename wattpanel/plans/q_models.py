@@ -312,9 +312,7 @@ def multi_diff_average(spark, sf):
 SELECT row_id, CASE WHEN is_consumption = 0 THEN p168 ELSE p48 END AS prediction FROM ev""", ("panel",))
 def route_predict(spark, sf):
     e = eval_frame(spark, sf)
-    out = MD.route_by_split(e, "row_id", lambda d: d.withColumn("prediction", F.col("p168")),
-                            lambda d: d.withColumn("prediction", F.col("p48")))
-    return out.select("row_id", "prediction")
+    return e.select("row_id", MD.route("p168", "p48").alias("prediction"))
 
 
 def _eval_sql():

@@ -179,7 +179,7 @@ WITH {_holiday_sql(1992, 2001)}, d AS (SELECT DISTINCT CAST(l_shipdate AS DATE)
 SELECT CAST(d.date AS TIMESTAMP) AS date, (h.date IS NOT NULL) AS is_country_holiday FROM d LEFT JOIN hol h ON h.date = d.date""")
 def holiday_calendar(spark, sf):
     d = read_table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
-    return add_holiday_flag(d, "date", 1992, 2001).select(F.col("date").cast("timestamp").alias("date"),
+    return add_holiday_flag(d, "date").select(F.col("date").cast("timestamp").alias("date"),
                                                           "is_country_holiday")
 
 

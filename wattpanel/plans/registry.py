@@ -31,6 +31,7 @@ def query(name: str, sql: str | None = None, fixtures: tuple[str, ...] = ()):
 def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:
     from . import (  # noqa: F401
         q_geo,
+        q_io,
         q_metrics,
         q_models,
         q_panel,

@@ -4,8 +4,9 @@ Sums and means taken in different orders differ in the last bits; when the exact
 value is a decimal tie (means of 2-decimal data often are), any later rounding can
 fall either way.  Double outputs of registered queries are therefore rounded to
 ``DECIMALS`` places with the same IEEE arithmetic on both sides,
-``floor(x * 1e9 + 0.5) / 1e9`` (NaN and infinities pass through).  The grid is far
-finer than the data's own decimals, so both engines land on the same double.
+round-half-even of ``x * 1e9`` over 1e9 (NaN and infinities pass through).  The grid is far
+finer than the data's own decimals, so both engines land on the same double.  All steps stay in
+doubles, so large values keep their magnitude; values under 1e-6 are rounded to 15 places instead.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 DECIMALS = 9
 SCALE = "1e9"
+SMALL, FINE = "1e-6", "1e15"
 MANIFEST = os.path.join(os.path.dirname(os.path.abspath(__file__)), "double_columns.json")
 
 
@@ -33,7 +35,8 @@ def round_doubles(df: DataFrame) -> DataFrame:
         if kind == "double":
             c = _q(name)
             out.append(F.expr(f"CASE WHEN isnan({c}) OR abs({c}) = double('Infinity') THEN {c} "
-                              f"ELSE floor({c} * {SCALE}D + 0.5D) / {SCALE}D END").alias(name))
+                              f"WHEN abs({c}) < {SMALL}D THEN CASE WHEN rint({c} * {FINE}D) = 0 THEN 0.0D ELSE rint({c} * {FINE}D) / {FINE}D END "
+                              f"ELSE rint({c} * {SCALE}D) / {SCALE}D END").alias(name))
         else:
             out.append(F.col(_q(name)))
     return df.select(*out)
@@ -47,7 +50,8 @@ def round_sql(sql: str, cols: Sequence[str]) -> str:
     for c in cols:
         q = '"' + c.replace('"', '""') + '"'
         items.append(f"CASE WHEN isnan({q}) OR isinf({q}) THEN {q} "
-                     f"ELSE floor({q} * {SCALE} + 0.5) / {SCALE} END AS {q}")
+                     f"WHEN abs({q}) < {SMALL} THEN CASE WHEN round_even({q} * {FINE}::DOUBLE, 0) = 0 THEN 0.0::DOUBLE ELSE round_even({q} * {FINE}::DOUBLE, 0) / {FINE}::DOUBLE END "
+                     f"ELSE round_even({q} * {SCALE}::DOUBLE, 0) / {SCALE}::DOUBLE END AS {q}")
     return f"SELECT * REPLACE ({', '.join(items)}) FROM (\n{sql}\n) AS _oracle"
 
 

@@ -120,25 +120,18 @@ def params_frame(spark, group_col: str, params: Mapping[object, Mapping[str, flo
 
 def group_predict(df: DataFrame, params: DataFrame, group_col: str, regressors: Mapping[str, str] = REGRESSORS,
                   out: str = "prediction") -> DataFrame:
-    """Score each row with its group's parameters; unseen groups get the mean over all groups.
+    """Score each row with its group's parameters; rows of unseen or null groups get the mean over all groups.
 
-    The parameter table has one row per group (bounded); it is broadcast for the
-    seen groups and, for unseen ones, expanded as an array literal (no join).
+    One pass: a left join to the parameter table (a row a group), and for the rest the mean over an array literal of it.
     """
     names = [c for c in params.columns if c != group_col]
     prow = params.collect()
-    seen = [r[group_col] for r in prow]
-    pcols = {n: F.col(f"_p.{n}") for n in names}
-    hit = df.join(bounded_broadcast(params.select(group_col, F.struct(*names).alias("_p")), 100_000),
-                  on=group_col, how="inner")
-    hit = hit.withColumn(out, solar_output(pcols, regressors)).drop("_p")
-    miss = df.filter(~F.col(group_col).isin(seen)) if seen else df
-    arr = F.array(*[F.struct(*[F.lit(float(r[n])).alias(n) for n in names]) for r in prow])
-    each = miss.withColumn("_rowkey", F.monotonically_increasing_id()).select("*", F.explode(arr).alias("_p"))
-    each = each.withColumn("_pred", solar_output(pcols, regressors))
-    keep = [c for c in miss.columns]
-    avg = each.groupBy("_rowkey").agg(*[F.first(c).alias(c) for c in keep], F.avg("_pred").alias(out))
-    return hit.unionByName(avg.select(*hit.columns))
+    joined = df.join(bounded_broadcast(params.select(group_col, F.struct(*names).alias("_p")), 100_000), on=group_col, how="left")
+    own = solar_output({n: F.col(f"_p.{n}") for n in names}, regressors)
+    every = F.array(*[F.struct(*[F.lit(float(r[n])).alias(n) for n in names]) for r in prow])
+    each = F.transform(every, lambda p: solar_output({n: p.getField(n) for n in names}, regressors))
+    mean = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.lit(float(len(prow) or 1))
+    return joined.withColumn(out, F.when(F.col("_p").isNotNull(), own).otherwise(mean)).select(*df.columns, out)
 
 
 def _candidates(state: dict, bounds: Mapping[str, tuple[float, float]]) -> list[tuple]:
@@ -208,12 +201,6 @@ def fit_pattern_search(df: DataFrame, group_col: str, target: str, init: Mapping
     return state, history
 
 
-def weighted_train_score(state: Mapping) -> float:
-    """Group-size-weighted MAE of a fit."""
-    tot = sum(s["n"] or 0 for s in state.values())
-    return sum((s["mae"] or 0) * (s["n"] or 0) for s in state.values()) / tot if tot else float("nan")
-
-
 def random_starts(groups: Sequence, runs: int, bounds: Mapping[str, tuple[float, float]] = BOUNDS, seed: int = 0
                   ) -> dict:
     """Random start points within bounds, one per (run, group)."""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,17 +36,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Settings the library depends on; safe to call on an existing session.
+    """Settings the results depend on; safe to call on an existing session.
 
-    Broadcasts come only from explicit, row-bounded hints (``bounded_broadcast``) or
-    from AQE, which converts a join at run time from the *measured* size of a
-    finished shuffle stage.  Plan-time estimates are not trusted for this: they do
-    not follow the fan-out of ``explode``, which every lag table uses.
+    Broadcast thresholds stay the caller's: small dimensions are broadcast by Spark's own size
+    estimate or by AQE from measured sizes, and explicit hints are row-bounded (``bounded_broadcast``).
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -54,13 +50,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    Only when the session names none (local tests) is a scratch folder chosen.
+    Only a local session that names none gets a scratch folder; on a cluster its absence is an error,
+    since executors do not share a machine's temporary folder.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="wattpanel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():
@@ -86,14 +85,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 
 def scratch_dir(prefix: str = "wattpanel-") -> str:
-    """A fresh folder under the checkpoint root (shared on a cluster)."""
-    spark = SparkSession.getActiveSession()
-    root = ensure_checkpoint_dir(spark) if spark else tempfile.gettempdir()
-    if root.startswith("file:"):
-        root = root[5:]
-    if "://" in root:
-        import uuid
-
-        return f"{root.rstrip('/')}/{prefix}{uuid.uuid4().hex}"
-    os.makedirs(root, exist_ok=True)
-    return tempfile.mkdtemp(prefix=prefix, dir=root)
+    """The path of a new folder under the checkpoint root (shared on a cluster); whoever writes to it makes it."""
+    root = ensure_checkpoint_dir(SparkSession.active())
+    return f"{root.rstrip('/')}/{prefix}{uuid.uuid4().hex}"
+
+
+def remove_dir(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the library's own, through the file system that its path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
