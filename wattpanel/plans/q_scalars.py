@@ -136,13 +136,13 @@ def format_name(spark, sf):
 
 @query("name_to_id", f"""
 WITH dim AS (SELECT n_nationkey AS county, array_to_string(list_transform(string_split(replace(n_name, ' ', '-'), '-'),
-    lambda p: upper(left(p, 1)) || lower(substring(p, 2))), '-') AS county_name FROM nation WHERE n_nationkey < 15),
+    lambda p: upper(left(p, 1)) || lower(substring(p, 2))), '-') AS county_name FROM nation),
 lookup AS (SELECT n_nationkey AS k, array_to_string(list_transform(string_split({_RAW_NAME}, '-'),
     lambda p: upper(left(p, 1)) || lower(substring(p, 2))), '-') AS name FROM nation)
 SELECT l.k, l.name, d.county FROM lookup l LEFT JOIN dim d ON d.county_name = l.name""")
 def name_to_id(spark, sf):
     n = read_table(spark, sf, "nation")
-    dim = n.filter(F.col("n_nationkey") < 15).select(
+    dim = n.select(
         F.col("n_nationkey").alias("county"), S.format_name(F.regexp_replace("n_name", " ", "-")).alias("county_name"))
     raw = F.when(F.col("n_nationkey") % 2 == 0, F.lower(F.regexp_replace("n_name", " ", "-"))).otherwise(
         F.regexp_replace("n_name", " ", "-"))
@@ -303,7 +303,7 @@ def prediction_guard(spark, sf):
 # --- C13: train x client merge on six keys, clashing client columns suffixed ---------------------------
 _CN_SQL = ("SELECT CAST(n_nationkey AS BIGINT) AS county, array_to_string(list_transform(string_split("
            "replace(n_name, ' ', '-'), '-'), lambda p: upper(left(p, 1)) || lower(substring(p, 2))), '-') "
-           "AS county_name FROM nation WHERE n_nationkey < 15")
+           "AS county_name FROM nation")
 _PN_SQL = ("CASE product_type WHEN 0 THEN 'Combined' WHEN 1 THEN 'Fixed' WHEN 2 THEN 'General service' "
            "WHEN 3 THEN 'Spot' END")
 
@@ -320,7 +320,7 @@ FROM t LEFT JOIN c ON c.county = t.county AND c.product_type = t.product_type AN
 def train_client_merge(spark, sf):
     from .models import merge_with_suffix
 
-    n = read_table(spark, sf, "nation").filter(F.col("n_nationkey") < 15)
+    n = read_table(spark, sf, "nation")
     names = n.select(F.col("n_nationkey").cast("long").alias("county"),
                      S.format_name(F.regexp_replace("n_name", " ", "-")).alias("county_name"))
     t = fx.panel(spark, sf).join(F.broadcast(names), "county", "left").withColumns({

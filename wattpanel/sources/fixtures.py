@@ -3,8 +3,10 @@
 The reference reads private CSVs (target, client, weather, capitals, ...).  The
 test data are TPC-H-like tables plus ``events``; the frames below turn those into
 tables with the same shape so that every operator runs over data whose size grows
-with the input.  ``FIXTURE_SQL`` holds the same definitions as DuckDB SQL for the
-oracle side; both were written to agree row for row.
+with the input: each further ``BLOCK_USERS`` users play a further 30 days of the panel, with
+weather points of their own between the first ones, so hours, points and rows all grow with the
+users of ``events``.  Counties are the nations.  ``FIXTURE_SQL`` holds the same definitions as
+DuckDB SQL for the oracle side; both were written to agree row for row.
 """
 
 from __future__ import annotations
@@ -15,12 +17,28 @@ from pyspark.sql import functions as F
 from .io import read_table
 
 EARTH_RADIUS_KM = 6371.0088
+BLOCK_USERS = 150  # users that share 30 days
+COUNTIES = 25  # rows of nation
+POINTS = 30  # weather points of one block
+
+
+def _block():
+    return F.expr(f"user_id div {BLOCK_USERS}")
+
+
+def _time():
+    """When a user's event happens in the panel: each block of users has its own 30 days."""
+    return F.expr(f"ts + make_dt_interval(cast(30 * (user_id div {BLOCK_USERS}) as int))")
+
+
+def _with_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "events").withColumn("ts", _time())
 
 
 def _county_keys():
     uid = F.col("user_id")
     return [
-        (uid % 15).alias("county"),
+        (uid % COUNTIES).alias("county"),
         (F.expr("user_id div 15") % 2).alias("is_business"),
         (uid % 4).alias("product_type"),
     ]
@@ -28,7 +46,7 @@ def _county_keys():
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly target per segment (plays ``train.csv``)."""
-    ev = read_table(spark, sf_dir, "events")
+    ev = _with_time(spark, sf_dir)
     return ev.groupBy(
         *_county_keys(),
         F.when(F.col("event_type").isin("view", "click"), 1).otherwise(0).alias("is_consumption"),
@@ -38,7 +56,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def client(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily client table (eic_count, installed_capacity) per county/business/product."""
-    ev = read_table(spark, sf_dir, "events")
+    ev = _with_time(spark, sf_dir)
     return ev.groupBy(*_county_keys(), F.col("ts").cast("date").alias("date")).agg(
         F.countDistinct("user_id").cast("double").alias("eic_count"),
         F.round(F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)), 4).alias(
@@ -47,16 +65,17 @@ def client(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _grid_point(mod: int = 20):
-    k = F.col("user_id") % mod
-    lat = F.round(F.lit(57.6).cast("decimal(3,1)") + F.lit(0.1).cast("decimal(2,1)") * k, 1).cast("double")
-    lon = F.round(F.lit(21.8).cast("decimal(3,1)") + F.lit(0.3).cast("decimal(2,1)") * k, 1).cast("double")
+def _grid_point():
+    """Points of the first block lie on a diagonal; those of later blocks a few hundredths of a degree beside them."""
+    k = f"cast(user_id % {POINTS} as int)"
+    lat = F.expr(f"cast((57600 + 100 * {k} + cast((user_id div {BLOCK_USERS}) % 100 as int)) / 1000.0D as double)")
+    lon = F.expr(f"cast((21800 + 300 * {k} + cast((user_id div {100 * BLOCK_USERS}) % 300 as int)) / 1000.0D as double)")
     return lat, lon
 
 
 def hist_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly observed weather per grid point (plays ``historical_weather.csv``)."""
-    ev = read_table(spark, sf_dir, "events")
+    ev = _with_time(spark, sf_dir)
     lat, lon = _grid_point()
     return ev.groupBy(
         F.date_trunc("hour", "ts").alias("datetime"), lat.alias("latitude"), lon.alias("longitude")
@@ -75,7 +94,7 @@ def hist_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forecast_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecast issues per grid point (plays ``forecast_weather.csv``; u10/v10 are the wind parts)."""
-    ev = read_table(spark, sf_dir, "events")
+    ev = _with_time(spark, sf_dir)
     lat, lon = _grid_point()
     return ev.groupBy(
         lat.alias("latitude"),
@@ -94,10 +113,10 @@ def forecast_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capitals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One capital per county id 0..14 with coordinates."""
+    """One capital per nation with coordinates."""
     n = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
     k = F.col("k")
-    return n.filter(k < 15).select(
+    return n.select(
         k.alias("county"),
         F.round(F.lit(57.65).cast("decimal(4,2)") + F.lit(0.12).cast("decimal(3,2)") * k, 2)
         .cast("double")
@@ -170,39 +189,42 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # The same frames as DuckDB SQL (oracle side).  Order matters: later views use
 # earlier ones.
+_EVENTS = f"(SELECT * REPLACE (ts + to_days(CAST(30 * (user_id // {BLOCK_USERS}) AS INTEGER)) AS ts) FROM events)"
+_LAT = f"(57600 + 100 * (user_id % {POINTS}) + (user_id // {BLOCK_USERS}) % 100) / 1000.0::DOUBLE"
+_LON = f"(21800 + 300 * (user_id % {POINTS}) + (user_id // {100 * BLOCK_USERS}) % 300) / 1000.0::DOUBLE"
 FIXTURE_SQL: dict[str, str] = {
-    "panel": """
-SELECT user_id % 15 AS county, (user_id // 15) % 2 AS is_business, user_id % 4 AS product_type,
+    "panel": f"""
+SELECT user_id % {COUNTIES} AS county, (user_id // 15) % 2 AS is_business, user_id % 4 AS product_type,
        CASE WHEN event_type IN ('view','click') THEN 1 ELSE 0 END AS is_consumption,
        date_trunc('hour', ts) AS datetime, round(sum(value), 4) AS target, min(event_id) AS row_id
-FROM events GROUP BY 1,2,3,4,5""",
-    "client": """
-SELECT user_id % 15 AS county, (user_id // 15) % 2 AS is_business, user_id % 4 AS product_type,
+FROM {_EVENTS} GROUP BY 1,2,3,4,5""",
+    "client": f"""
+SELECT user_id % {COUNTIES} AS county, (user_id // 15) % 2 AS is_business, user_id % 4 AS product_type,
        CAST(ts AS DATE) AS date, CAST(count(DISTINCT user_id) AS DOUBLE) AS eic_count,
        round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 4) AS installed_capacity
-FROM events GROUP BY 1,2,3,4""",
-    "hist_weather": """
-SELECT date_trunc('hour', ts) AS datetime, CAST(round(57.6 + 0.1 * (user_id % 20), 1) AS DOUBLE) AS latitude,
-       CAST(round(21.8 + 0.3 * (user_id % 20), 1) AS DOUBLE) AS longitude,
+FROM {_EVENTS} GROUP BY 1,2,3,4""",
+    "hist_weather": f"""
+SELECT date_trunc('hour', ts) AS datetime, {_LAT} AS latitude,
+       {_LON} AS longitude,
        round(max(value) / 10 - 5, 4) AS temperature, round(max(value) / 10 - 7, 4) AS dewpoint,
        round(sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END) / 100, 6) AS rain,
        round(sum(CASE WHEN event_type = 'signup' THEN value ELSE 0 END) / 1000, 6) AS snowfall,
        round(min(value) / 10, 4) AS windspeed_10m, CAST(min(event_id) % 360 AS DOUBLE) AS winddirection_10m,
        round(sum(value), 4) AS shortwave_radiation
-FROM events GROUP BY date_trunc('hour', ts), user_id % 20""",
-    "forecast_weather": """
-SELECT CAST(round(57.6 + 0.1 * (user_id % 20), 1) AS DOUBLE) AS latitude,
-       CAST(round(21.8 + 0.3 * (user_id % 20), 1) AS DOUBLE) AS longitude,
+FROM {_EVENTS} GROUP BY 1,2,3""",
+    "forecast_weather": f"""
+SELECT {_LAT} AS latitude,
+       {_LON} AS longitude,
        date_trunc('day', ts) AS origin_datetime, CAST(1 + event_id % 48 AS INT) AS hours_ahead,
        round(max(value) / 10 - 5, 4) AS temperature, round(max(value) / 10 - 7, 4) AS dewpoint,
        round(sum(value) / 100000, 9) AS total_precipitation, round(min(value) / 1000000, 9) AS snowfall,
        round(max(value) / 10 - 5, 4) AS u10, round(min(value) / 10 - 5, 4) AS v10,
        round(sum(value), 4) AS surface_solar_radiation_downwards
-FROM events GROUP BY user_id % 20, date_trunc('day', ts), 1 + event_id % 48""",
+FROM {_EVENTS} GROUP BY 1,2,3,4""",
     "capitals": """
 SELECT k AS county, CAST(round(57.65 + 0.12 * k, 2) AS DOUBLE) AS latitude,
        CAST(round(22.0 + 0.4 * k, 2) AS DOUBLE) AS longitude
-FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation) WHERE k < 15""",
+FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation)""",
     "stations": """
 SELECT DISTINCT latitude, longitude FROM hist_weather""",
     "station_weights": """
