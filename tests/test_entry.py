@@ -23,8 +23,8 @@ def test_every_query_has_oracle_or_is_known_rows_only():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     own = {n for n in q if n != "pipeline" and not re.match(r"op\d+_", n)}  # the text queries have tests of their own
-    assert own - set(o) == {"gbt_ensemble", "param_stability", "solar_fit", "stream_sliding_sum",
-                               "feature_table", "train_evaluate", "stream_inference"}
+    assert own - set(o) == {"gbt_ensemble", "param_stability", "solar_fit",
+                               "feature_table", "train_evaluate"}
 
 
 @pytest.mark.parametrize("name", FAST)

@@ -1,13 +1,18 @@
-"""Upsert and streaming refresh queries."""
+"""Upsert and streaming refresh queries (G1, I1, I2, I4, I5); each writes its feed of file drops first."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
+from ..schemas import KEYS
+from ..session import remove_dir, scratch_dir
 from ..sources import fixtures as fx
+from ..sources.io import read_table
 from ..streaming import feeds
 from . import features as FT
+from . import solar as SO
+from .q_models import REG_SQL, SX_CTE, SX_FIX, _norm_sql, solar_sql
 from .q_panel import _target_family_sql
 from .registry import query
 
@@ -30,15 +35,85 @@ def upsert_latest(spark, sf):
     return C.upsert_latest(fx.panel(spark, sf), _new_rows(spark, sf), KEY)
 
 
-@query("stream_upsert", _UPSERT_SQL, ("panel",))
-def stream_upsert(spark, sf):
-    """Same content as ``upsert_latest``, arriving as two file drops through a stream."""
-    return feeds.stream_upsert(spark, [fx.panel(spark, sf), _new_rows(spark, sf)], KEY)
+def _write_feed(drops, folder):
+    """One folder per drop; rows get their drop's number as data block unless they carry one."""
+    for i, d in enumerate(drops):
+        d = d if feeds.BLOCK in d.columns else d.withColumn(feeds.BLOCK, F.lit(i).cast("long"))
+        d.write.parquet(f"{folder}/drop={i:05d}")
+    return d.schema
+
+
+def _thirds(df):
+    """Three drops in the order of time."""
+    lo, hi = df.agg(F.min("datetime"), F.max("datetime")).first()
+    if lo is None:
+        return [df]
+    a, b = (F.lit(lo + (hi - lo) * k / 3) for k in (1, 2))
+    t = F.col("datetime")
+    return [df.filter(t < a), df.filter((t >= a) & (t < b)), df.filter(t >= b)]
+
+
+def _streamed(spark, drops, job):
+    """Run ``job(folder, schema, out, checkpoint)`` over a feed of the drops; the feed goes once it is drained."""
+    folder, out, checkpoint = (scratch_dir(p) for p in ("feed-", "log-", "stream-"))
+    schema = _write_feed(drops, folder)
+    result = job(folder, schema, out, checkpoint)
+    remove_dir(spark, folder)
+    remove_dir(spark, checkpoint)
+    return result
 
 
-def _day_drops(df, bounds=(11, 21)):
-    d = F.dayofmonth("datetime")
-    return [df.filter(d < bounds[0]), df.filter((d >= bounds[0]) & (d < bounds[1])), df.filter(d >= bounds[1])]
+@query("stream_upsert", _UPSERT_SQL, ("panel",))
+def stream_upsert(spark, sf):
+    """Same content as ``upsert_latest``, arriving as two drops through a stream."""
+    return _streamed(spark, [fx.panel(spark, sf), _new_rows(spark, sf)],
+                     lambda folder, schema, out, ck: feeds.stream_upsert(spark, folder, schema, out, ck, KEY))
+
+
+# --- I1 for all six tables of a step: (day column, value column) -----------------------------------
+_REFRESHED = {"client": ("date", "eic_count"), "gas_prices": ("forecast_date", "highest_price_per_mwh"),
+              "electricity_prices": ("forecast_date", "euros_per_mwh"), "forecast_weather": ("forecast_datetime", "temperature"),
+              "historical_weather": ("datetime", "temperature"), "target": ("datetime", "target")}
+_REFRESH_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS n, CAST(sum(CAST({v} + CASE WHEN day({t}) % 3 = 0 THEN 1 ELSE 0 END "
+    f"AS DECIMAL(18,4))) AS DOUBLE) AS total FROM {view}"
+    for (name, (t, v)), view in zip(_REFRESHED.items(), [
+        "client", "(SELECT CAST(ts AS DATE) AS forecast_date, max(value) AS highest_price_per_mwh FROM events GROUP BY 1)",
+        "(SELECT date_trunc('hour', ts) AS forecast_date, max(value) AS euros_per_mwh FROM events GROUP BY 1)",
+        "(SELECT *, origin_datetime + to_hours(hours_ahead) AS forecast_datetime FROM forecast_weather)",
+        "hist_weather", "panel"]))
+
+
+@query("stream_refresh_tables", _REFRESH_SQL, ("client", "forecast_weather", "hist_weather", "panel"))
+def stream_refresh_tables(spark, sf):
+    """All six tables of a step arrive in two drops, the second raising the values of every third day; rows and sum of each table's state."""
+    ev = read_table(spark, sf, "events")
+    tables = {
+        "client": fx.client(spark, sf),
+        "gas_prices": ev.groupBy(F.to_date("ts").alias("forecast_date")).agg(
+            F.min("value").alias("lowest_price_per_mwh"), F.max("value").alias("highest_price_per_mwh")),
+        "electricity_prices": ev.groupBy(F.date_trunc("hour", "ts").alias("forecast_date")).agg(
+            F.max("value").alias("euros_per_mwh")),
+        "forecast_weather": fx.forecast_weather(spark, sf).withColumn(
+            "forecast_datetime", F.expr("origin_datetime + make_dt_interval(0, hours_ahead)")),
+        "historical_weather": fx.hist_weather(spark, sf),
+        "target": fx.panel(spark, sf),
+    }
+    folder, state = scratch_dir("feed-"), scratch_dir("state-")
+    schemas = {}
+    for name, df in tables.items():
+        day, value = _REFRESHED[name]
+        changed = df.filter(F.dayofmonth(day) % 3 == 0).withColumn(value, F.col(value) + 1)
+        schemas[name] = _write_feed([df, changed], f"{folder}/{name}")
+    views = feeds.refresh_tables(spark, folder, state, schemas, KEYS)
+    remove_dir(spark, folder)
+    parts = [v.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"),
+                   F.sum(F.col(_REFRESHED[name][1]).cast("decimal(18,4)")).cast("double").alias("total"))
+             for name, v in views.items()]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 @query("stream_features", _target_family_sql(), ("panel",))
@@ -51,37 +126,59 @@ def stream_features(spark, sf):
     def build(batch):
         start = lookback_min(batch, "datetime")
         hist = lookback_prune(panel, "datetime", start, max(FT.TARGET_LAGS))
-        return FT.target_features(batch, hist)
+        return FT.target_features(batch.drop(feeds.BLOCK), hist)
 
-    return feeds.stream_features(spark, _day_drops(items), build)
+    return _streamed(spark, _thirds(items),
+                     lambda folder, schema, out, ck: feeds.stream_features(spark, folder, schema, out, ck, build, 8))
 
 
 @query("stream_dedupe", """
 SELECT DISTINCT county, is_business, product_type, is_consumption, datetime FROM panel""", ("panel",))
 def stream_dedupe(spark, sf):
-    drops = [fx.panel(spark, sf), _new_rows(spark, sf)]
-    return feeds.stream_dedupe(spark, drops, KEY, "datetime").select(*KEY)
+    def job(folder, schema, out, checkpoint):
+        feeds.run_to_files(feeds.dedupe(feeds.read_feed(spark, folder, schema), KEY, "datetime"), out, checkpoint)
+        return spark.read.schema(schema).parquet(out).select(*KEY)
+
+    return _streamed(spark, [fx.panel(spark, sf), _new_rows(spark, sf)], job)
 
 
-@query("stream_sliding_sum")
+@query("stream_sliding_sum", """
+WITH w AS (SELECT county, target, date_trunc('day', datetime) + to_days(CAST(k AS INTEGER)) AS datetime FROM panel, range(1, 8) r(k))
+SELECT county, datetime, sum(target) AS target_7d FROM w
+WHERE datetime <= (SELECT max(datetime) FROM panel) - INTERVAL 1 DAY GROUP BY county, datetime""", ("panel",))
 def stream_sliding_sum(spark, sf):
     """Closed 7-day windows (every day) of the hourly target per county, as a live aggregate."""
-    p = fx.panel(spark, sf).select("county", "datetime", "target")
-    return feeds.stream_sliding_sum(spark, _day_drops(p), ["county"], "datetime", "target", "7 days", "1 day",
-                                    "target_7d")
+    def job(folder, schema, out, checkpoint):
+        s = feeds.sliding_sum(feeds.read_feed(spark, folder, schema), ["county"], "datetime", "target", "7 days", "1 day", "target_7d")
+        feeds.run_to_files(s, out, checkpoint)
+        return spark.read.schema(s.schema).parquet(out)
+
+    return _streamed(spark, _thirds(fx.panel(spark, sf).select("county", "datetime", "target")), job)
+
+
+_FORECAST_REG = {k: v.replace("_historical", "_forecast") for k, v in REG_SQL.items()}
 
 
-@query("stream_inference")
+@query("stream_inference", f"""WITH {SX_CTE}, {_norm_sql()},
+p AS (SELECT sx.row_id, date_diff('day', DATE '2024-01-01', CAST(sx.datetime AS DATE)) AS data_block_id,
+  day(sx.datetime) NOT BETWEEN 11 AND 20 AS scored,
+  CASE WHEN sx.datetime < (SELECT min(datetime) FROM panel) + INTERVAL 48 HOUR THEN NULL
+    WHEN sx.is_consumption = 0 THEN coalesce({solar_sql(SO.DEFAULT_WEIGHTS, _FORECAST_REG)}, 0.0)
+    ELSE coalesce(df.target_per_eic_48h * sx.eic_count, 0.0) END AS prediction
+  FROM sx LEFT JOIN df ON df.row_id = sx.row_id),
+g AS (SELECT data_block_id, bool_or(scored) AS needed, bool_or(prediction IS NULL) AS missing FROM p GROUP BY 1)
+SELECT row_id, data_block_id, CASE WHEN NOT needed THEN 0.0 WHEN missing THEN 44444444.0 WHEN prediction < 0 THEN 0.0
+  ELSE prediction END AS target FROM p JOIN g USING (data_block_id)""", SX_FIX)
 def stream_inference(spark, sf):
-    """Items arrive in three drops (days 1-10, 11-20, 21-30; the middle one is not scored).
+    """Items of every day are one data block; days 11 to 20 of a month are not scored.
 
-    Per batch: client, county weather at the item hour, per-eic lags with fallback
+    Per block: client, county weather at the item hour, per-eic lags with fallback
     (look-back over the history), forecast swapped in, solar formula for production
-    and 48 h per-eic persistence for consumption, then the guard.
+    and 48 h per-eic persistence for consumption (0 where that hour lacks weather or history), then the guard.  In the
+    first 48 hours no history reaches back far enough, so nothing is predicted and the sentinel fires.
     """
     from ..operators.lags import lag_fallback, lookback_min, lookback_prune
     from ..streaming.inference import run_inference
-    from . import solar as SO
     from .q_weather import county_forecast, county_hist
 
     panel = fx.panel(spark, sf)
@@ -89,9 +186,10 @@ def stream_inference(spark, sf):
     norm = FT.normalised_target(panel, client).checkpoint()
     hcw = county_hist(spark, sf)[0].checkpoint()
     fcw = county_forecast(spark, sf)[0].checkpoint()
+    begin = panel.agg(F.min("datetime")).first()[0]
     wx = ["temperature", "dewpoint", "snowfall", "rain", "windspeed_10m"]
-    d = F.dayofmonth("datetime")
-    items = panel.select("row_id", *FT.SEGMENT, "datetime", (~d.between(11, 20)).alias("currently_scored"))
+    items = panel.select("row_id", *FT.SEGMENT, "datetime", F.datediff(F.to_date("datetime"), F.lit("2024-01-01").cast("date")).cast("long").alias(feeds.BLOCK),
+                         (~F.dayofmonth("datetime").between(11, 20)).alias("currently_scored"))
 
     def build(batch):
         b = FT.client_features(FT.with_date(batch), client).drop("date")
@@ -105,6 +203,8 @@ def stream_inference(spark, sf):
     def score(feats):
         prod = F.coalesce(SO.solar_output(SO.DEFAULT_WEIGHTS), F.lit(0.0))
         cons = F.coalesce(F.col("target_per_eic_48h") * F.col("eic_count"), F.lit(0.0))
-        return feats.withColumn("prediction", F.when(F.col("is_consumption") == 0, prod).otherwise(cons))
+        value = F.when(F.col("is_consumption") == 0, prod).otherwise(cons)
+        return feats.withColumn("prediction", F.when(F.expr("datetime - INTERVAL 48 HOURS") >= F.lit(begin), value))
 
-    return run_inference(spark, _day_drops(items), build, score)
+    return _streamed(spark, _thirds(items), lambda folder, schema, out, ck: run_inference(
+        spark, feeds.read_feed(spark, folder, schema), out, ck, build, score))

@@ -2,9 +2,11 @@
 
 The reference loops over arriving frames, upserts them into in-memory tables and
 rebuilds features and scores for the new rows.  Here each table arrives as a file
-stream; ``foreachBatch`` appends every micro-batch to a Parquet log partitioned by
-batch id (overwriting its own partition, so a replay after a failure is harmless),
-and readers see the log through a latest-wins view.  Feature and score refreshes
+stream whose rows carry the number of their data block; ``foreachBatch`` appends every micro-batch
+to a Parquet log partitioned by batch id (overwriting its own partition, so a replay after a failure is
+harmless), and readers see the log through a latest-block-wins view.  A micro-batch may hold many files and
+many blocks.  The caller names feed, log and checkpoint folders: a job started again with the same
+three goes on where it stopped.  Feature and score refreshes
 are stateless ``foreachBatch`` jobs that call the same batch functions, with the
 look-back read from the logs; only de-duplication and the live sliding sum keep
 operator state, bounded by a watermark.
@@ -12,15 +14,18 @@ operator state, bounded by a watermark.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.clean import latest_per_key
-from ..session import scratch_dir
+from ..schemas import KEYS
+from ..session import bounded_broadcast
+
+BLOCK = "data_block_id"
+MAX_FLAGS = 1_000_000  # batch flags broadcast at most
 
 
 def guard_predictions(df: DataFrame, pred: str, needed: str, batch_keys: Sequence[str],
@@ -29,8 +34,8 @@ def guard_predictions(df: DataFrame, pred: str, needed: str, batch_keys: Sequenc
 
     Per batch: not needed -> 0; any missing/NaN prediction -> every row 44,444,444;
     else any infinite one -> 99,999,999; else the prediction clipped at 0.
-    Batch flags come from a grouped aggregate joined back (partial aggregation, no
-    single task per batch).
+    Batch flags come from a grouped aggregate, one small row per batch, broadcast up to ``MAX_FLAGS``
+    batches, so a batch's rows are not gathered in one task.
     """
     p = F.col(pred)
     flags = df.groupBy(*batch_keys).agg(
@@ -38,23 +43,18 @@ def guard_predictions(df: DataFrame, pred: str, needed: str, batch_keys: Sequenc
         F.bool_or(p.isNull() | F.isnan(p)).alias("_nan"),
         F.bool_or(F.abs(p) == F.lit(float("inf"))).alias("_inf"),
     )
-    j = df.join(flags, on=list(batch_keys), how="inner")
+    j = df.join(bounded_broadcast(flags, MAX_FLAGS), on=list(batch_keys), how="inner")
     value = (F.when(~F.col("_needed"), F.lit(0.0)).when(F.col("_nan"), F.lit(44_444_444.0))
              .when(F.col("_inf"), F.lit(99_999_999.0)).when(p < 0, F.lit(0.0)).otherwise(p))
     return j.withColumn(out, value).drop("_needed", "_nan", "_inf")
 
 
-def write_feed(drops: Sequence[DataFrame], folder: str | None = None) -> str:
-    """Write each frame as its own file drop into a new feed folder (one micro-batch each)."""
-    folder = folder or scratch_dir("feed-")
-    for i, d in enumerate(drops):
-        d.coalesce(1).write.mode("overwrite").parquet(os.path.join(folder, f"drop={i:05d}"))
-    return folder
-
-
-def _feed_stream(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-            .option("recursiveFileLookup", "true").parquet(folder))
+def read_feed(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """The files of a feed folder as a stream; all that wait make one micro-batch unless ``files_per_trigger`` says fewer."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
 
 
 def append_log(batch_df: DataFrame, batch_id: int, log_dir: str) -> None:
@@ -64,65 +64,63 @@ def append_log(batch_df: DataFrame, batch_id: int, log_dir: str) -> None:
      .partitionBy("batch_id").parquet(log_dir))
 
 
-def run_to_log(spark: SparkSession, folder: str, schema: T.StructType, log_dir: str,
+def run_to_log(stream: DataFrame, log_dir: str, checkpoint: str,
                transform: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
-    """Drain the feed with ``availableNow``; each micro-batch (optionally transformed) goes to the log."""
-    ckpt = scratch_dir("ckpt-")
+    """Drain a feed with ``availableNow``; each micro-batch (optionally transformed) goes to the log.
+
+    ``log_dir`` and ``checkpoint`` belong together: batch ids go on from the checkpoint.
+    """
 
     def sink(batch_df: DataFrame, batch_id: int) -> None:
         out = transform(batch_df, batch_id) if transform else batch_df
         append_log(out, batch_id, log_dir)
 
-    q = (_feed_stream(spark, folder, schema).writeStream.foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def run_to_files(stream: DataFrame, out_dir: str, checkpoint: str) -> None:
+    """Drain a stateful stream with ``availableNow`` into Parquet files (append mode)."""
+    q = (stream.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
+         .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def latest_view(spark: SparkSession, log_dir: str, keys: Sequence[str]) -> DataFrame:
-    """Current table state: one row per key, the latest batch winning (I1 reader side)."""
-    return latest_per_key(spark.read.parquet(log_dir), keys, "batch_id")
+def latest_view(spark: SparkSession, log_dir: str, keys: Sequence[str], block: str = BLOCK) -> DataFrame:
+    """Current table state: one row per key, the latest data block winning (I1 reader side)."""
+    return latest_per_key(spark.read.parquet(log_dir).drop("batch_id"), keys, block)
 
 
-def stream_upsert(spark: SparkSession, drops: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Incremental upsert of a table arriving in drops."""
-    folder = write_feed(drops)
-    log_dir = scratch_dir("log-")
-    run_to_log(spark, folder, drops[0].schema, log_dir)
+def stream_upsert(spark: SparkSession, folder: str, schema: T.StructType, log_dir: str, checkpoint: str,
+                  keys: Sequence[str], files_per_trigger: int | None = None) -> DataFrame:
+    """Incremental upsert of a table arriving as files (I1); ``schema`` includes the data block's number."""
+    run_to_log(read_feed(spark, folder, schema, files_per_trigger), log_dir, checkpoint)
     return latest_view(spark, log_dir, keys)
 
 
-def stream_features(spark: SparkSession, drops: Sequence[DataFrame],
-                    build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def refresh_tables(spark: SparkSession, feed_root: str, state_root: str, schemas: Mapping[str, T.StructType],
+                   keys: Mapping[str, Sequence[str]] = KEYS, files_per_trigger: int | None = None) -> dict[str, DataFrame]:
+    """Upsert every table of ``keys`` from ``feed_root/<table>`` into ``state_root/<table>`` (I1, all tables of a step)."""
+    return {name: stream_upsert(spark, f"{feed_root}/{name}", schemas[name], f"{state_root}/{name}/log",
+                                f"{state_root}/{name}/checkpoint", cols, files_per_trigger)
+            for name, cols in keys.items()}
+
+
+def stream_features(spark: SparkSession, folder: str, schema: T.StructType, log_dir: str, checkpoint: str,
+                    build: Callable[[DataFrame], DataFrame], files_per_trigger: int | None = None) -> DataFrame:
     """Feature refresh per arriving batch of items (I2): ``build`` is the batch feature function."""
-    folder = write_feed(drops)
-    log_dir = scratch_dir("features-")
-    run_to_log(spark, folder, drops[0].schema, log_dir, lambda b, _i: build(b))
+    run_to_log(read_feed(spark, folder, schema, files_per_trigger), log_dir, checkpoint, lambda b, _i: build(b))
     return spark.read.parquet(log_dir).drop("batch_id")
 
 
-def stream_dedupe(spark: SparkSession, drops: Sequence[DataFrame], keys: Sequence[str], ts: str,
-                  delay: str = "16 days") -> DataFrame:
+def dedupe(stream: DataFrame, keys: Sequence[str], ts: str, delay: str = "16 days") -> DataFrame:
     """Duplicates dropped within a watermark (I4); state is bounded by ``delay``."""
-    folder = write_feed(drops)
-    out_dir = scratch_dir("dedupe-")
-    ckpt = scratch_dir("ckpt-")
-    s = _feed_stream(spark, folder, drops[0].schema).withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
-    q = (s.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(drops[0].schema).parquet(out_dir)
-
-
-def stream_sliding_sum(spark: SparkSession, drops: Sequence[DataFrame], keys: Sequence[str], ts: str, col: str,
-                       period: str, every: str, out: str, delay: str = "1 day") -> DataFrame:
-    """Live sliding-window sum (I5): append mode emits closed windows only."""
-    folder = write_feed(drops)
-    out_dir = scratch_dir("sliding-")
-    ckpt = scratch_dir("ckpt-")
-    s = _feed_stream(spark, folder, drops[0].schema).withWatermark(ts, delay)
-    agg = s.groupBy(*keys, F.window(ts, period, every).alias("_w")).agg(F.sum(col).alias(out))
-    res = agg.select(*keys, F.col("_w.end").alias(ts), out)
-    q = (res.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def sliding_sum(stream: DataFrame, keys: Sequence[str], ts: str, col: str, period: str, every: str, out: str,
+                delay: str = "1 day") -> DataFrame:
+    """Live sliding-window sum (I5): in append mode a window is emitted once the watermark has passed its end."""
+    agg = stream.withWatermark(ts, delay).groupBy(*keys, F.window(ts, period, every).alias("_w")).agg(F.sum(col).alias(out))
+    return agg.select(*keys, F.col("_w.end").alias(ts), out)

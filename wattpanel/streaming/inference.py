@@ -1,10 +1,10 @@
 """Step-by-step inference as a stream (survey section 3.3).
 
-Each arriving batch of items is handled in ``foreachBatch``: if no row is
-currently scored, zeros are emitted without building features; otherwise the
-same batch feature functions run with their look-back over the history tables,
+Items arrive as files whose rows carry the number of their data block (one step of the
+reference's loop); a micro-batch may hold many blocks.  Blocks without a currently scored row get zeros and no features;
+for the others the same batch feature functions run with their look-back over the history tables,
 forecast columns are swapped in for the historical ones, the model scores, and
-the sentinel guard is applied.  Results go to a Parquet log partitioned by batch
+the sentinel guard is applied block by block.  Results go to a Parquet log partitioned by batch
 id (idempotent on replay).
 """
 
@@ -16,24 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import swap_hist_forecast
-from ..session import scratch_dir
-from .feeds import guard_predictions, run_to_log, write_feed
-
-
-def run_inference(spark: SparkSession, drops: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame],
-                  score: Callable[[DataFrame], DataFrame], keys: Sequence[str] = ("row_id",),
-                  flag: str = "currently_scored") -> DataFrame:
-    """Drain the item feed; returns the emitted predictions (keys, target, batch_id)."""
-    folder = write_feed(drops)
-    log_dir = scratch_dir("predictions-")
-
-    def step(batch: DataFrame, batch_id: int) -> DataFrame:
-        needed = batch.agg(F.bool_or(F.col(flag)).alias("n")).first()["n"]
-        if not needed:
-            return batch.select(*keys, F.lit(0.0).alias("target"))
-        feats = swap_hist_forecast(build(batch))
-        scored = score(feats).withColumn("_b", F.lit(batch_id))
-        return guard_predictions(scored, "prediction", flag, ["_b"]).select(*keys, "target")
-
-    run_to_log(spark, folder, drops[0].schema, log_dir, step)
-    return spark.read.parquet(log_dir)
+from ..session import bounded_broadcast, cut_lineage
+from .feeds import BLOCK, MAX_FLAGS, guard_predictions, run_to_log
+
+
+def run_inference(spark: SparkSession, items: DataFrame, log_dir: str, checkpoint: str,
+                  build: Callable[[DataFrame], DataFrame], score: Callable[[DataFrame], DataFrame],
+                  keys: Sequence[str] = ("row_id",), flag: str = "currently_scored", block: str = BLOCK) -> DataFrame:
+    """Drain the stream ``items``; returns the emitted predictions (keys, block, target)."""
+
+    def step(batch: DataFrame, _id: int) -> DataFrame:
+        needed = batch.groupBy(block).agg(F.coalesce(F.bool_or(F.col(flag)), F.lit(False)).alias("_needed"))
+        tagged = batch.join(bounded_broadcast(needed, MAX_FLAGS), block)
+        idle = tagged.filter("not _needed").select(*keys, block, F.lit(0.0).alias("target"))
+        active = tagged.filter("_needed").drop("_needed")
+        if active.isEmpty():
+            return idle
+        scored = cut_lineage(score(swap_hist_forecast(build(active))).select(*keys, block, flag, "prediction"))
+        return idle.unionByName(guard_predictions(scored, "prediction", flag, [block]).select(*keys, block, "target"))
+
+    run_to_log(items, log_dir, checkpoint, step)
+    return spark.read.parquet(log_dir).drop("batch_id")
