@@ -9,7 +9,8 @@ if shorter) must agree in at least ``SHARE`` of its words.
 Words are runs of letters, digits and non-ASCII characters, in lower case.  Null or empty text has no words; items with fewer
 words than a seed spans are not searched (too short to be evidence); items with a null id are
 reported with a null id; repeated identical rows (same doc_id and text) give one row for each item.
-The benchmark is broadcast in blocks of items whose seed hashes stay under ``BLOCK_ROWS`` rows, however large it is.
+The benchmark is broadcast in blocks of items whose seeds stay under ``BLOCK_ROWS`` rows, however large it is: the seeds with the number of
+their item, and beside them each item's words once.
 """
 
 from __future__ import annotations
@@ -53,13 +54,13 @@ def _agreement(window: int) -> str:
     return f"transform(array({same}), e -> {run})[0]"
 
 
-def _item_blocks(items: DataFrame, block_rows: int) -> list[DataFrame]:
-    """The items in blocks of at most about ``block_rows`` words, by a hash."""
+def _item_blocks(items: DataFrame, n_masks: int, block_rows: int) -> list[DataFrame]:
+    """The items in blocks of at most about ``block_rows`` seeds, by a hash."""
     words = items.agg(F.sum(F.size("hw"))).first()[0] or 0
-    n = -(-words * len(MASKS) // block_rows)
+    n = -(-words * n_masks // block_rows)
     if n <= 1:
         return [items]
-    block = F.pmod(F.xxhash64("item_id", "hw"), F.lit(2 * n))
+    block = F.pmod(F.xxhash64(F.lit("block"), "item"), F.lit(2 * n))
     return [items.filter(block == i) for i in range(2 * n)]
 
 
@@ -69,14 +70,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
         raise ValueError("masks must have one length")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), _word_hashes(text_or_empty()).alias("hw"))
     rows = _seeds(named, masks)
-    items = reliable(benchmark.select("item_id", _word_hashes(text_or_empty()).alias("hw")).filter(F.size("hw") >= len(masks[0])))
+    items = benchmark.select("item_id", _word_hashes(text_or_empty()).alias("hw")).filter(F.size("hw") >= len(masks[0])).distinct()
+    items = reliable(items.withColumn("item", F.xxhash64(F.col("item_id").isNull(), "item_id", "hw")))
     out = None
-    for block in _item_blocks(items, block_rows):
-        probes = _seeds(block, masks).select(F.col("seed"), F.col("item_id"), F.col("at").alias("item_at"), F.col("hw").alias("iw")).distinct()
+    for block in _item_blocks(items, len(masks), block_rows):
+        probes = _seeds(block, masks).select("seed", "item", F.col("at").alias("item_at"), F.size("hw").alias("words")).distinct()
         hits = rows.join(F.broadcast(probes), "seed").withColumn("lead", F.col("at") - F.col("item_at"))
-        near = F.slice("hw", F.greatest(F.col("lead"), F.lit(0)) + 1, F.size("iw"))
-        hits = hits.select("doc_id", "_k1", "_k2", "item_id", "iw", "lead", near.alias("dw"))
-        hits = hits.groupBy("doc_id", "_k1", "_k2", "item_id", "iw", "lead").agg(F.first("dw").alias("dw"))
+        near = F.slice("hw", F.greatest(F.col("lead"), F.lit(0)) + 1, F.col("words"))
+        hits = hits.select("doc_id", "_k1", "_k2", "item", "lead", near.alias("dw"))
+        hits = hits.groupBy("doc_id", "_k1", "_k2", "item", "lead").agg(F.first("dw").alias("dw"))
+        hits = hits.join(F.broadcast(block.select("item", "item_id", F.col("hw").alias("iw"))), "item")
         found = hits.withColumn("matched", F.expr(_agreement(window))).withColumn("length", F.least(F.size("iw"), F.lit(window)))
         found = found.filter(F.col("matched") >= F.ceil(F.col("length") * share))
         found = found.groupBy("doc_id", "_k1", "_k2", "item_id").agg(

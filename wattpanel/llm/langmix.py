@@ -64,6 +64,12 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys // BUCKETS, keys % BUCKETS, counts
 
 
+def _has_letter(text: str) -> bool:
+    """Whether a text has a letter; the pattern also finds other number characters, so its hit is looked at."""
+    hit = _LETTER.search(text)
+    return hit is not None and (hit[0].isalpha() or any(map(str.isalpha, text[hit.end() :])))
+
+
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     _, offsets = string_buffers(batch.column(column))
     at = 0
@@ -193,7 +199,7 @@ def identify(docs: DataFrame, labelled: DataFrame, train_docs: int = TRAIN_DOCS)
         for whole in batches:
             for batch in _slices(whole, 1):
                 texts = batch.column(1)
-                letters = np.array([bool(_LETTER.search(t.as_py())) for t in texts], bool)
+                letters = np.array([_has_letter(t.as_py()) for t in texts], bool)
                 n = batch.num_rows
                 best, score, shares = infer(texts, shared.value, prior) if languages else (np.full(n, -1), np.zeros(n), np.zeros((n, 0)))
                 if languages:  # letters, but too few for an n-gram
