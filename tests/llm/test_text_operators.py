@@ -311,6 +311,7 @@ def test_language_held_out_accuracy_and_mixture(spark):
     assert got[1]["lang_pred"] == "fr" and got[1]["languages"] == "fr:1.000"
     assert [got[i]["lang_pred"] for i in (2, 3, 4)] == ["und"] * 3 and all(got[i]["score"] == 0 for i in (2, 3, 4))
     assert got[5]["lang_pred"] in ("en", "de", "fr", "es") and 0 <= got[5]["score"] <= 1
+    assert not langmix._has_letter("² ½ 12_") and langmix._has_letter("² a") and langmix._has_letter("é")
     nothing = langmix.identify(mixed, labelled.limit(0)).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
 
