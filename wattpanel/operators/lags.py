@@ -39,16 +39,21 @@ def shift_hours(ts_col: str, hours) -> F.Column:
 
 
 def lag_table(src: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], lags: Sequence[int],
-              name: LagNamer) -> DataFrame:
+              name: LagNamer, wanted: DataFrame | None = None) -> DataFrame:
     """One row per (keys, ts) of the *target* time with one column per (col, lag).
 
     ``src`` must be unique on ``keys + [ts]`` (run the upsert first); the value at
-    lag ``h`` for time ``t`` is the source value at ``t - h``.
+    lag ``h`` for time ``t`` is the source value at ``t - h``.  With ``wanted`` only its
+    (keys, ts) are made: the narrow copies are shuffled and semi-joined before they are
+    pivoted, so a sparse series does not pivot the times that nobody asks for, and the
+    pivot runs where the copies already lie.
     """
     lags = [int(h) for h in lags]
     shifted = src.select(
         *keys, ts, *cols, F.explode(F.array(*[F.lit(h) for h in lags])).alias("_lag")
     ).withColumn(ts, shift_hours(ts, F.col("_lag")))
+    if wanted is not None:
+        shifted = shifted.join(wanted.select(*keys, ts).distinct().hint("merge"), on=[*keys, ts], how="left_semi")
     if len(cols) * len(lags) <= 100 and len(lags) < 63:
         # Narrow sources: one max(when) per (column, lag), a plain hash aggregate.  As in the wide form, a duplicated
         # source key is an error: then the sum of the lags' bits differs from their union.
@@ -67,19 +72,23 @@ def lag_table(src: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
 
 
 def lag_join(left: DataFrame, src: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
-             lags: Sequence[int], name: LagNamer = hours_suffix, strategy: str | None = None) -> DataFrame:
+             lags: Sequence[int], name: LagNamer = hours_suffix, strategy: str | None = None,
+             wanted: DataFrame | None = None) -> DataFrame:
     """Left join of ``src`` shifted by every lag in ``lags`` onto ``left``.
 
     ``strategy``: ``"pivot"`` (explode-shift-pivot, shuffles ``len(lags)`` copies
     of the source) or ``"window"`` (time-chunked range-frame window, shuffles the
     source once plus a halo of ``max(lags)``); default from the session conf
-    ``wattpanel.lag.strategy`` (``pivot``).
+    ``wattpanel.lag.strategy`` (``pivot``).  ``wanted`` is a frame with at least the
+    (keys, ts) of ``left``; in a chain of lag joins the first left side spares the later
+    ones from running the joins before them twice.
     """
+    wanted = left if wanted is None else wanted
     strategy = strategy or left.sparkSession.conf.get("wattpanel.lag.strategy", "pivot")
     if strategy == "window":
-        table = lag_table_window(left, src, keys, ts, cols, lags, name)
+        table = lag_table_window(wanted, src, keys, ts, cols, lags, name)
     else:
-        table = lag_table(src, keys, ts, cols, lags, name)
+        table = lag_table(src, keys, ts, cols, lags, name, wanted)
     return left.join(table, on=[*keys, ts], how="left")
 
 
@@ -187,8 +196,8 @@ def lag_fallback_multi(left: DataFrame, src: DataFrame, specs: dict[str, tuple[S
     both = sorted(set(all_lags) | set(all_sum))
     m1 = [f"{c}_all_type_mean" for c in cols] + ([f"{c}_all_type_sum" for c in cols] if all_sum else [])
     m2 = [f"{c}_all_county_type_mean" for c in cols] + ([f"{c}_all_county_type_sum" for c in cols] if all_sum else [])
-    out = lag_join(out, lvl1.select(*LEVEL_TYPE, *m1), LEVEL_TYPE[1:], ts, m1, both, hours_suffix)
-    out = lag_join(out, lvl2.select(*LEVEL_COUNTY_TYPE, *m2), LEVEL_COUNTY_TYPE[1:], ts, m2, both, hours_suffix)
+    out = lag_join(out, lvl1.select(*LEVEL_TYPE, *m1), LEVEL_TYPE[1:], ts, m1, both, hours_suffix, wanted=left)
+    out = lag_join(out, lvl2.select(*LEVEL_COUNTY_TYPE, *m2), LEVEL_COUNTY_TYPE[1:], ts, m2, both, hours_suffix, wanted=left)
     extra = [h for h in both if h not in all_lags]
     out = out.drop(*[f"{c}{m}_{h}h" for c in cols for h in extra
                      for m in ("_all_type_mean", "_all_county_type_mean")])
