@@ -92,3 +92,14 @@ def test_window_strategy_chunk_halo_and_future_items(spark):
     a = later.join(t, ["county", "datetime"], "left").orderBy("row_id").collect()
     b = L.lag_join_chain(later, src, ["county"], "datetime", ["v"], [0, 24, 48], nm).orderBy("row_id").collect()
     assert [r.asDict() for r in a] == [r.asDict() for r in b]
+
+
+def test_only_wanted_times_are_pivoted(spark):
+    src = spark.sql("SELECT 1L AS k, timestamp'2024-01-01 00:00:00' AS datetime, 5.0D AS a "
+                    "UNION ALL SELECT 2L, timestamp'2024-01-01 00:00:00', 6.0D")
+    items = spark.sql("SELECT 1L AS k, timestamp'2024-01-02 00:00:00' AS datetime UNION ALL SELECT 1L, timestamp'2024-01-02 00:00:00' "
+                      "UNION ALL SELECT CAST(NULL AS BIGINT), timestamp'2024-01-02 00:00:00'")
+    table = L.lag_table(src, ["k"], "datetime", ["a"], [24, 48], L.hours_suffix, items)
+    assert [(r.k, r.a_24h, r.a_48h) for r in table.collect()] == [(1, 5.0, None)]
+    joined = L.lag_join(items, src, ["k"], "datetime", ["a"], [24, 48])
+    assert sorted([(r.k, r.a_24h) for r in joined.collect()], key=str) == [(1, 5.0), (1, 5.0), (None, None)]
