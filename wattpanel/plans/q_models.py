@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import folds as K
 from ..operators.lags import lag_fallback
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 from ..sources.io import read_table
 from . import features as FT
@@ -17,6 +18,7 @@ from .q_weather import FCW_CTE, HCW_CTE, WX_FIX, county_forecast, county_hist
 from .registry import query
 
 SEG = FT.SEGMENT
+FOLD_FRACTIONS = (1 / 2, 2 / 3, 5 / 6)  # of the span of the data, for each fold's training rows
 _WX = ["temperature", "dewpoint", "snowfall", "rain", "windspeed_10m"]
 
 # --- The production frame: delayed client, county weather at lag 0, hour -------------------------
@@ -185,9 +187,9 @@ GBT_FEATURES = ["county", "is_business", "product_type", "is_consumption", "hour
 
 @query("gbt_ensemble")
 def gbt_ensemble(spark, sf):
-    """Two-seed L1 GBT ensemble trained up to 2024-01-20 and scored after it."""
+    """Two-seed L1 GBT ensemble trained on the first two thirds of the data's span and scored after it."""
     e = eval_frame(spark, sf).withColumns(FT.S.calendar_columns())
-    cut = F.lit("2024-01-20").cast("timestamp")
+    cut = F.lit(K.fraction_cuts(e, [2 / 3])[0]).cast("timestamp")
     models = MD.fit_gbt_ensemble(e.filter(F.col("datetime") <= cut), GBT_FEATURES, "target", seeds=(0, 1),
                                  params={"maxIter": 10, "maxDepth": 4, "minInstancesPerNode": 20})
     return MD.predict_ensemble(models, e.filter(F.col("datetime") > cut), GBT_FEATURES).select("row_id", "prediction")
@@ -352,7 +354,11 @@ def training_frame(spark, sf):
 
 @query("train_evaluate")
 def train_evaluate(spark, sf):
-    """Fold loop of the training job: fit, score on historical and on swapped-in forecast weather (3.2)."""
+    """Fold loop of the training job: fit, score on historical and on swapped-in forecast weather (3.2).
+
+    Folds are cut at ``FOLD_FRACTIONS`` of the data's span.
+    """
     from .train import train_evaluate as run
 
-    return run(training_frame(spark, sf), ["2024-01-20"], solar_rounds=3)
+    frame = cut_lineage(training_frame(spark, sf))
+    return run(frame, K.fraction_cuts(frame, FOLD_FRACTIONS), solar_rounds=3)
