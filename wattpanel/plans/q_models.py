@@ -156,12 +156,13 @@ def solar_group_predict(spark, sf):
 
 @query("solar_fit")
 def solar_fit(spark, sf):
-    """Pattern-search fit per product type; one row per (group, parameter) with the final MAE."""
+    """Pattern-search fit per product type; one row per (group, parameter) with the final MAE, rounds used and converged."""
     df = solar_frame(spark, sf)
-    state, _ = SO.fit_pattern_search(df, "product_type", "target", rounds=6)
-    rows = [(int(g), n, float(v), float(s["mae"]), int(s["n"])) for g, s in state.items()
+    state, _ = SO.fit_pattern_search(df, "product_type", "target")
+    rows = [(int(g), n, float(v), float(s["mae"]), int(s["n"]), s["rounds"], s["converged"]) for g, s in state.items()
             for n, v in sorted(s["theta"].items())]
-    return spark.createDataFrame(rows, "product_type long, param string, value double, mae double, n long")
+    return spark.createDataFrame(rows, "product_type long, param string, value double, mae double, n long, "
+                                       "rounds long, converged boolean")
 
 
 @query("param_stability")
@@ -174,10 +175,10 @@ def param_stability(spark, sf):
     x = df.select("*", F.explode(F.array(*[F.lit(i) for i in range(runs)])).alias("run_id"))
     x = x.withColumn("run_group", F.concat_ws("_", F.col("run_id").cast("string"), F.col("product_type").cast("string")))
     st = {f"{r}_{g}": v for (r, g), v in starts.items()}
-    state, _ = SO.fit_pattern_search(x, "run_group", "target", rounds=4, starts=st)
-    rows = [(k, float(s["mae"]), int(s["n"]), *[float(s["theta"][n]) for n in sorted(SO.DEFAULT_WEIGHTS)])
+    state, _ = SO.fit_pattern_search(x, "run_group", "target", starts=st)
+    rows = [(k, float(s["mae"]), int(s["n"]), s["rounds"], s["converged"], *[float(s["theta"][n]) for n in sorted(SO.DEFAULT_WEIGHTS)])
             for k, s in state.items()]
-    cols = "run_group string, mae double, n long, " + ", ".join(f"{n} double" for n in sorted(SO.DEFAULT_WEIGHTS))
+    cols = "run_group string, mae double, n long, rounds long, converged boolean, " + ", ".join(f"{n} double" for n in sorted(SO.DEFAULT_WEIGHTS))
     return spark.createDataFrame(rows, cols)
 
 
@@ -361,4 +362,4 @@ def train_evaluate(spark, sf):
     from .train import train_evaluate as run
 
     frame = cut_lineage(training_frame(spark, sf))
-    return run(frame, K.fraction_cuts(frame, FOLD_FRACTIONS), solar_rounds=3)
+    return run(frame, K.fraction_cuts(frame, FOLD_FRACTIONS))

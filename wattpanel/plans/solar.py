@@ -152,12 +152,14 @@ def _candidates(state: dict, bounds: Mapping[str, tuple[float, float]]) -> list[
 
 def fit_pattern_search(df: DataFrame, group_col: str, target: str, init: Mapping[str, float] = DEFAULT_WEIGHTS,
                        bounds: Mapping[str, tuple[float, float]] = BOUNDS, regressors: Mapping[str, str] = REGRESSORS,
-                       rounds: int = 20, step_fraction: float = 0.25, min_step_fraction: float = 1e-3,
+                       rounds: int = 1000, step_fraction: float = 0.25, min_step_fraction: float = 1e-3,
                        starts: Mapping[object, Mapping[str, float]] | None = None) -> tuple[dict, list[dict]]:
     """Fit the solar parameters per group by minimising MAE within bounds.
 
-    Returns ``(state, history)``: per group the parameters, MAE and rows, and per
+    Returns ``(state, history)``: per group the parameters, MAE, rows, rounds used and whether it
+    converged (every step at most ``min_step_fraction`` of its range), and per
     round the best MAE of every group (non-increasing by construction).
+    The search ends when all groups have converged; ``rounds`` is only a safety limit.
     ``starts`` overrides the start point per group (used for random restarts).
     """
     spark = df.sparkSession
@@ -169,11 +171,14 @@ def fit_pattern_search(df: DataFrame, group_col: str, target: str, init: Mapping
     for g in groups:
         theta = dict((starts or {}).get(g, init))
         state[g] = {"theta": theta, "steps": {n: step_fraction * (bounds[n][1] - bounds[n][0]) for n in names},
-                    "mae": None, "n": None}
+                    "mae": None, "n": None, "rounds": 0}
+
+    def converged(s: dict) -> bool:
+        return all(s["steps"][n] <= min_step_fraction * (bounds[n][1] - bounds[n][0]) for n in names)
+
     history: list[dict] = []
     for rnd in range(rounds):
-        active = {g: s for g, s in state.items()
-                  if any(s["steps"][n] > min_step_fraction * (bounds[n][1] - bounds[n][0]) for n in names)}
+        active = {g: s for g, s in state.items() if not converged(s)}
         if not active:
             break
         cands = spark.createDataFrame(_candidates(active, bounds), [group_col, "_cand", *names])
@@ -191,6 +196,7 @@ def fit_pattern_search(df: DataFrame, group_col: str, target: str, init: Mapping
             best_c = min(scores, key=lambda c: (scores[c][0], c))
             best = scores[best_c][0]
             st["n"] = scores[0][1]
+            st["rounds"] = rnd + 1
             if best_c != 0 and best < cur:
                 st["theta"] = dict(zip(names, cand_rows[(g, best_c)]))
                 st["mae"] = best
@@ -198,6 +204,8 @@ def fit_pattern_search(df: DataFrame, group_col: str, target: str, init: Mapping
                 st["mae"] = cur
                 st["steps"] = {n: s / 2 for n, s in st["steps"].items()}
         history.append({"round": rnd, **{str(g): state[g]["mae"] for g in state}})
+    for st in state.values():
+        st["converged"] = converged(st)
     return state, history
 
 
