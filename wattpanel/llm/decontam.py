@@ -6,8 +6,12 @@ with those of the benchmark items; each hit fixes an alignment (document positio
 the words of the whole item at that alignment: a window of ``WINDOW`` words (the item's length
 if shorter) must agree in at least ``SHARE`` of its words.
 
-Words are runs of letters, digits and non-ASCII characters, in lower case.  Null or empty text has no words; items with fewer
-words than a seed spans are not searched (too short to be evidence); items with a null id are
+The masks of an item follow from its length: a family in ``FAMILIES`` hits every pattern of so many changed words in a window of
+so many, and where none fits, a run of ones as long as the changes must leave whole somewhere.  So whatever the verification
+accepts has a seed in common with its item, in items of any length.
+
+Words are runs of letters, digits and non-ASCII characters, in lower case.  Null or empty text has no words; items of fewer than
+``min_words`` words (1: none but the empty) are not searched; items with a null id are
 reported with a null id; repeated identical rows (same doc_id and text) give one row for each item.
 The benchmark is broadcast in blocks of items whose seeds stay under ``BLOCK_ROWS`` rows, however large it is: the seeds with the number of
 their item, and beside them each item's words once.
@@ -15,12 +19,19 @@ their item, and beside them each item's words once.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROW_NAME, packed, reliable, row_name, text_key, text_or_empty, unpacked
 
-MASKS = ("1101101011", "1011010111", "1110010111")
+#: (words, changed words) -> masks of which one, somewhere in so many words, has no changed word under its ones, wherever the changes lie.
+FAMILIES = {
+    (15, 3): ("1011100101", "10100010111", "11000101000101"),
+    (10, 2): ("11001101", "1101011", "101010011"),
+    (5, 1): ("111", "11011"),
+}
 WINDOW = 15
 SHARE = 0.8
 BLOCK_ROWS = 1_000_000
@@ -32,15 +43,34 @@ def _word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(frame: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """``frame`` with hw -> a row for each placement of each mask: at (the word at which it starts) and seed.
+def least_equal(length: int, share: float = SHARE) -> int:
+    """Words of ``length`` that must agree."""
+    return math.ceil(length * share)
+
+
+def masks_for(length: int, share: float = SHARE) -> tuple[str, ...]:
+    """Masks that hit every pattern of changes that ``share`` allows in a window of ``length`` words."""
+    changed = length - least_equal(length, share)
+    if changed >= length:
+        raise ValueError("share must ask for a word at least")
+    able = [k for k in FAMILIES if changed and k[0] <= length and k[1] >= changed]
+    if able:
+        return FAMILIES[max(able)]
+    return ("1" * -(-(length - changed) // (changed + 1)),)
+
+
+def _seeds(frame: DataFrame, masks: dict[str, Column | None]) -> DataFrame:
+    """``frame`` with hw -> a row for each placement of each mask (where its condition holds): at (the word at which it starts) and seed.
 
     Positions are exploded and seeds hashed from ``hw`` by generated code, not by lambda functions.
     """
-    span = len(masks[0])
-    placed = frame.select("*", F.posexplode("hw").alias("at", "_w")).filter(F.col("at") <= F.size("hw") - span)
-    seeds = [F.xxhash64(F.lit(k), *[F.get("hw", F.col("at") + j) for j, c in enumerate(mask) if c == "1"]) for k, mask in enumerate(masks)]
-    return placed.select(*frame.columns, "at", F.explode(F.array(*seeds)).alias("seed"))
+    placed = frame.select("*", F.posexplode("hw").alias("at", "_w"))
+    seeds = []
+    for mask, only in masks.items():
+        fits = F.col("at") <= F.size("hw") - len(mask)
+        words = [F.get("hw", F.col("at") + j) for j, c in enumerate(mask) if c == "1"]
+        seeds.append(F.when(fits if only is None else fits & only, F.xxhash64(F.lit(mask), *words)))
+    return placed.select(*frame.columns, "at", F.explode(F.array(*seeds)).alias("seed")).filter("seed is not null")
 
 
 def _agreement(window: int) -> str:
@@ -64,14 +94,19 @@ def _item_blocks(items: DataFrame, n_masks: int, block_rows: int) -> list[DataFr
     return [items.filter(block == i) for i in range(2 * n)]
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: float = SHARE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, block_rows: int = BLOCK_ROWS, min_words: int = 1) -> DataFrame:
     """doc_id, _k1, _k2, item_id, first_word, item_words, matched (equal words in the best window) and overlap (their share)."""
-    if len({len(m) for m in masks}) != 1:
-        raise ValueError("masks must have one length")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), _word_hashes(text_or_empty()).alias("hw"))
-    rows = _seeds(named, masks)
-    items = benchmark.select("item_id", _word_hashes(text_or_empty()).alias("hw")).filter(F.size("hw") >= len(masks[0])).distinct()
+    items = benchmark.select("item_id", _word_hashes(text_or_empty()).alias("hw")).filter(F.size("hw") >= max(1, min_words)).distinct()
     items = reliable(items.withColumn("item", F.xxhash64(F.col("item_id").isNull(), "item_id", "hw")))
+    length = F.least(F.size("hw"), F.lit(window))
+    present = sorted(r[0] for r in items.select(length.alias("n")).distinct().collect())  # at most window rows
+    lengths: dict[str, list[int]] = {}
+    for n in present or [window]:
+        for mask in masks_for(n, share):
+            lengths.setdefault(mask, []).append(n)
+    masks = {mask: length.isin(ns) for mask, ns in lengths.items()}
+    rows = _seeds(named, dict.fromkeys(masks))
     out = None
     for block in _item_blocks(items, len(masks), block_rows):
         probes = _seeds(block, masks).select("seed", "item", F.col("at").alias("item_at"), F.size("hw").alias("words")).distinct()
