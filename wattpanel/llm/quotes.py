@@ -1,9 +1,10 @@
 """Quotation linking: conversations in reply order, without their quotes.
 
 A message's lines are read by quote level (the number of leading ``>``); lines of one level between blank or attribution lines are
-a passage.  Passages are normalised (lower case, words only) and hashed.  A quoted passage is joined to the earliest
-message of its conversation in which the same passage stands unquoted; the message most of whose passages
-a message quotes at its shallowest linked level is the one it replies to.  Threads are found by pointer doubling over these
+a passage.  Passages, their lines and their sentences are normalised (lower case, words only) and hashed.  A quoted passage is joined to the
+earliest message of its conversation in which the same passage stands unquoted, and each of its lines and sentences, as well as itself, to the
+earliest in which that stands as passage, line or sentence.  At the shallowest linked level the message most of whose whole passages
+a message quotes is the one it replies to; if equal (a trimmed quote has none), the one of which it quotes most words.  Threads are found by pointer doubling over these
 replies; in a conversation, messages are ordered by the turn of their thread's first message, then by turn, so that a reply
 follows what it answers.
 
@@ -26,6 +27,7 @@ from .common import reliable
 MARKS = re.compile(r"\s{0,3}((?:>\s?)+)")
 ATTRIBUTION = re.compile(r"\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\bécrit|el\b.*\bescribió|.{1,80}\b(?:wrote|writes|said))\s*:\s*$", re.IGNORECASE)
 WORDS = re.compile(r"\w+")
+SENTENCE_END = re.compile(r"(?<=[.!?…。！？])\s+")
 
 
 def passages(text: str | None) -> list[tuple[int, str]]:
@@ -60,23 +62,41 @@ def normal_hash(passage: str) -> int | None:
     return h - (1 << 64) if h >> 63 else h
 
 
+def units(passage: str) -> dict[int, tuple[int, bool]]:
+    """hash -> (words, whole) of a passage, its lines and its sentences; a line that is the passage counts as whole."""
+    out: dict[int, tuple[int, bool]] = {}
+    joined = passage.replace("\n", " ")
+    for whole, parts in ((True, [passage]), (False, passage.split("\n")), (False, SENTENCE_END.split(joined))):
+        for part in parts:
+            h = normal_hash(part)
+            if h is not None and h not in out:
+                out[h] = (len(WORDS.findall(part)), whole)
+    return out
+
+
 def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (unquoted), n_quotes, own (hashes) and quoted (level, hash) of every row."""
-    schema = "conv_id long, turn long, role string, text string, n_quotes long, own array<long>, quoted array<struct<level:int,hash:long>>"
+    """conv_id, turn, role, text (unquoted), n_quotes, own (whole, hash) and quoted (level, passage, hash, words, whole) of every row."""
+    schema = "conv_id long, turn long, role string, text string, n_quotes long, own array<struct<whole:boolean,hash:long>>, quoted array<struct<level:int,passage:long,hash:long,words:long,whole:boolean>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())]))
+        own_kind = pa.list_(pa.struct([("whole", pa.bool_()), ("hash", pa.int64())]))
+        kind = pa.list_(pa.struct([("level", pa.int32()), ("passage", pa.int64()), ("hash", pa.int64()), ("words", pa.int64()), ("whole", pa.bool_())]))
         for batch in batches:
             texts, counts, own, quoted = [], [], [], []
             for value in batch.column(3):
                 parts = passages(value.as_py())
                 texts.append("\n\n".join(p for d, p in parts if d == 0))
                 counts.append(sum(d > 0 for d, _ in parts))
-                hashed = [(d, normal_hash(p)) for d, p in parts]
-                own.append(sorted({h for d, h in hashed if d == 0 and h is not None}))
-                quoted.append([{"level": d, "hash": h} for d, h in sorted({(d, h) for d, h in hashed if d > 0 and h is not None})])
+                hashed = [(d, normal_hash(p), units(p)) for d, p in parts]
+                mine: dict[int, bool] = {}
+                for d, _, us in hashed:
+                    for h, (_, whole) in us.items() if d == 0 else ():
+                        mine[h] = mine.get(h, False) or whole
+                own.append([{"whole": w, "hash": h} for h, w in sorted(mine.items())])
+                theirs = sorted({(d, p, h, n, whole) for d, p, us in hashed if d > 0 for h, (n, whole) in us.items()})
+                quoted.append([dict(zip(("level", "passage", "hash", "words", "whole"), x)) for x in theirs])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(quoted, kind)],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(own, own_kind), pa.array(quoted, kind)],
                 ["conv_id", "turn", "role", "text", "n_quotes", "own", "quoted"],
             )
 
@@ -91,13 +111,19 @@ def _conv() -> list[Column]:
 def replies(parsed: DataFrame) -> DataFrame:
     """c, nc, turn, parent, n_linked: for every message name that quotes an earlier message."""
     timed = parsed.filter("turn is not null")
-    wanted = timed.filter("size(quoted) > 0").select(*_conv(), "turn", F.explode("quoted").alias("q")).select("c", "nc", "turn", "q.level", "q.hash").distinct()
+    wanted = timed.filter("size(quoted) > 0").select(*_conv(), "turn", F.explode("quoted").alias("q")).select("c", "nc", "turn", "q.*").distinct()
     named = wanted.select("c", "nc", "hash").distinct()
-    origin = timed.select(*_conv(), "turn", F.explode("own").alias("hash")).join(named, ["c", "nc", "hash"], "left_semi").groupBy("c", "nc", "hash").agg(F.min("turn").alias("origin"))
-    links = wanted.join(origin, ["c", "nc", "hash"]).filter("origin < turn")
-    votes = links.groupBy("c", "nc", "turn", "level", "origin").agg(F.count(F.lit(1)).alias("n"))
-    best = F.max(F.struct((-F.col("level")).alias("l"), "n", "origin"))
-    return votes.groupBy("c", "nc", "turn").agg(best.alias("b"), F.sum("n").alias("n_linked")).select("c", "nc", "turn", F.col("b.origin").alias("parent"), "n_linked")
+    own = timed.select(*_conv(), "turn", F.explode("own").alias("o")).select("c", "nc", "turn", "o.*")
+    found = own.join(named, ["c", "nc", "hash"], "left_semi").groupBy("c", "nc", "hash").agg(F.min("turn").alias("any"), F.min(F.when(F.col("whole"), F.col("turn"))).alias("all"))
+    # a vote of the whole passage (strong) and one of its words, each for the earliest message that has them
+    each = F.array(F.struct(F.lit(False).alias("strong"), F.col("any").alias("origin")), F.struct(F.col("whole").alias("strong"), F.when(F.col("whole"), F.col("all")).alias("origin")))
+    links = wanted.join(found, ["c", "nc", "hash"]).select("*", F.explode(each).alias("v")).select("c", "nc", "turn", "level", "passage", "hash", "words", "v.*").filter("origin < turn")
+    single = links.groupBy("c", "nc", "turn", "level", "hash", "origin").agg(F.max("words").alias("words"), F.max("strong").cast("long").alias("strong"))
+    votes = single.groupBy("c", "nc", "turn", "level", "origin").agg(F.sum("strong").alias("n"), F.sum("words").alias("words"))
+    best = F.max(F.struct((-F.col("level")).alias("l"), "n", "words", "origin"))
+    linked = links.select("c", "nc", "turn", "level", "passage").distinct().groupBy("c", "nc", "turn").agg(F.count(F.lit(1)).alias("n_linked"))
+    chosen = votes.groupBy("c", "nc", "turn").agg(best.alias("b")).select("c", "nc", "turn", F.col("b.origin").alias("parent"))
+    return chosen.join(linked, ["c", "nc", "turn"])
 
 
 def roots(edges: DataFrame) -> DataFrame:
