@@ -1,9 +1,12 @@
 """Secret scan: fixed patterns, and a randomness test battery over other tokens.
 
 A token of at least 16 characters of an encoding's alphabet is a candidate if it could hold 64 bits
-(128 if it has letters alone).  Its encoding (hex, base32, base62, base64, base64url, letters) is inferred from its characters, and three tests
+(128 if it has letters of one case alone).  A run of characters that signs join (a path, a name before a key) is judged as a whole where it fits
+an alphabet, and so is each of its parts of that length, cut at the signs of either base64 form or of both; a part inside a longer
+secret is not reported again.  Its encoding (hex, base32, base62, base64, base64url, letters) is inferred from its characters, and three tests
 of randomness run over it: chi-squared uniformity over the encoding's alphabet, runs above and below the middle of the alphabet,
-and serial correlation of neighbouring characters; Fisher's method joins their p-values.  Ordinary tokens fail.
+and serial correlation of neighbouring characters; Fisher's method joins their p-values
+(of short mixed-case letters also that of the number of capitals, which tells names joined by capitals from keys).  Ordinary tokens fail.
 Within each length class (longer tokens give the tests more power) the Benjamini-Hochberg step over
 the candidates of all documents fixes which tokens are rejected as random at the false-discovery rate; the others are secrets.
 
@@ -32,6 +35,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 BASE_KINDS = ("assign", "access", "hex")
 
+LEAST = 16
+CUTS = (re.compile(r"[A-Za-z0-9_-]+={0,2}"), re.compile(r"[A-Za-z0-9+/]+={0,2}"), re.compile(r"[A-Za-z0-9]+={0,2}"))  # at '+/', at '-_', at both
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 ENCODINGS = (
     ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), "0123456789abcdef"),
@@ -94,41 +99,59 @@ def battery(values: list[int], size: int) -> tuple[float, float, float]:
 def judge(token: str) -> tuple[str, int, int] | None:
     """(encoding, length class, p-value bin) of a candidate token; None if it is no candidate."""
     body = token.rstrip("=")
+    short = False
     digits = sum(c.isdigit() for c in body)
     if digits == len(body):
         return None
     if digits == 0 and body.isalpha():
-        if not (body.islower() or body.isupper() or body[1:].islower()) and len(body) * math.log2(52) >= 128:
+        mixed = not (body.islower() or body.isupper() or body[1:].islower())
+        if mixed and len(body) * math.log2(52) >= 128:
             name, alphabet = "base62", ENCODINGS[2][2]
+        elif mixed and body.isascii() and len(body) >= LEAST:
+            name, alphabet, short = "base62", ENCODINGS[2][2][:52], True
         elif len(body) * math.log2(26) >= 128:
             name, alphabet, body = "letters", LETTERS, body.lower()
         else:
             return None
     elif digits == 0:
-        return None  # words joined by signs
+        return None  # words joined by signs: their parts are judged
     else:
         name, _, alphabet = next((e for e in ENCODINGS if e[1].fullmatch(token)), ENCODINGS[-1])
         if name == "hex":
             body = body.lower()
         if not all(c in alphabet for c in body):
-            return None  # signs of both base64 forms
+            return None  # signs of both base64 forms: its parts are judged
         if len(body) * math.log2(len(alphabet)) < 64:
             return None
     p = [max(x, 1e-60) for x in battery([alphabet.index(c) for c in body], len(alphabet))]
+    if short:
+        capitals = sum(c.isupper() for c in body)
+        p.append(max(1e-60, min(1.0, 2 * _tail(abs(2 * capitals - len(body)) / math.sqrt(len(body))))))
     x = -sum(map(math.log, p))
-    joined = math.exp(-x) * (1 + x + x * x / 2)  # Fisher: chi-squared with six degrees of freedom
+    joined = math.exp(-x) * sum(x**i / math.factorial(i) for i in range(len(p)))  # Fisher: chi-squared with twice as many degrees of freedom
     return name, sum(len(body) >= c for c in LENGTH_CLASSES), min(BINS, int(-10 * math.log10(max(joined, 1e-40))))
 
 
+def parts(token: str) -> list[tuple[int, int]]:
+    """(start, end) of the token and of its parts of at least ``LEAST`` characters between signs."""
+    found = {(0, len(token)): None}
+    if not token.rstrip("=").isalnum():
+        for cut in CUTS:
+            found.update(((m.start(), m.end()), None) for m in cut.finditer(token) if len(m[0].rstrip("=")) >= LEAST)
+    return list(found)
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int, str, int, int]]:
-    """(start, end, encoding, length class, bin) of the candidate tokens that touch no base span."""
+    """(start, end, encoding, length class, bin) of the candidate tokens and parts of tokens that touch no base span."""
     found = []
     for m in TOKEN.finditer(text):
-        if any(start < m.end() and m.start() < end for start, end, _ in base):
-            continue
-        seen = judge(m[0])
-        if seen:
-            found.append((m.start(), m.end(), *seen))
+        for a, b in parts(m[0]):
+            start, end = m.start() + a, m.start() + b
+            if any(x < end and start < y for x, y, _ in base):
+                continue
+            seen = judge(m[0][a:b])
+            if seen:
+                found.append((start, end, *seen))
     return found
 
 
@@ -162,6 +185,13 @@ def all_spans(text: str, limits: dict[int, int]) -> tuple[list[Span], list[Span]
     """(base spans, base and random spans by start)."""
     base = base_spans(text)
     more = [(start, end, f"random_{name}") for start, end, name, k, b in candidates(text, base) if b < limits.get(k, BINS + 1)]
+    more.sort(key=lambda s: (s[0], -s[1]))
+    outer, reach = [], -1  # without those inside another
+    for s in more:
+        if s[1] > reach:
+            outer.append(s)
+            reach = s[1]
+    more = outer
     return base, sorted([*base, *more], key=lambda s: s[0]) if more else base
 
 
