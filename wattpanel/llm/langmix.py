@@ -28,7 +28,6 @@ WIDTH = 4
 BUCKETS = 1 << 16
 TRAIN_DOCS = 4_000
 PENALTY = 4.0
-MIN_SHARE = 0.1
 ROUNDS = 12
 SHRINK = 2_000.0  # pooled n-grams added to each language's counts
 SLICE_BYTES = 1 << 20
@@ -166,8 +165,9 @@ def infer(texts: pa.Array, model: np.ndarray, prior: np.ndarray) -> tuple[np.nda
     order = np.argsort(-full, axis=1, kind="stable")
     value = alone[open_rows, first[open_rows]] - price[open_rows]
     chosen = shares[rows[open_rows]]
-    for size in range(2, k + 1):
-        able = np.flatnonzero(np.take_along_axis(full, order[:, size - 1 : size], 1)[:, 0] >= MIN_SHARE)
+    grams = np.add.reduceat(c, sub_starts)
+    for size in range(2, k + 1):  # a language of less than one n-gram gains nothing; all others are left to the penalty
+        able = np.flatnonzero(np.take_along_axis(full, order[:, size - 1 : size], 1)[:, 0] * grams >= 1)
         if not len(able):
             break
         mask = np.zeros((len(able), k))
