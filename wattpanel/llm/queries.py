@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_blocks, importance, langmix, license_scan, mixing, quality_rules, quotes, secret_scan, simhash
+from . import bpe, decontam, divergence, html_blocks, importance, langmix, license_scan, mixing, quality_rules, quotes, secret_scan, simhash, target_draw
 from .common import read
 
 
@@ -67,6 +67,27 @@ def op10_diagonal_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of ids, digest of the ids and digest of the decoded text of every document."""
+    import public_tokenizers
+
+    docs, file = read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    found = bpe.encode(docs, file, bpe.fit(docs, file), decoded=True)
+    digits = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_target_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain weight, perturbed score and rank of every document towards the benchmark's words."""
+    found = target_draw.draw(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every two sources of a language and the terms that each source overuses."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_hypergeometric_mixing,
         op9_golay_simhash,
         op10_diagonal_license_scan,
+        op11_transducer_bpe,
+        op12_target_importance_draw,
+        op13_source_divergence,
     )
 }
 
@@ -96,6 +120,8 @@ def _quartiles(by: str) -> str:
         FROM (SELECT {keys}, bucket, count(*) AS n FROM bucketed GROUP BY ALL)) GROUP BY ALL"""
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
     "op7_adaptive_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -141,4 +167,39 @@ c AS (SELECT rank, block, words, goal - coalesce(sum(words) OVER (PARTITION BY r
 g AS (SELECT r.*, c.rest, c.words, count(*) OVER same AS n, sum(size) OVER (PARTITION BY r.rank, r.block ORDER BY k RANGE UNBOUNDED PRECEDING) - sum(size) OVER same AS before
         FROM r JOIN c ON r.rank = c.rank AND r.block = c.block WINDOW same AS (PARTITION BY r.rank, r.block, k))
 SELECT doc_id, size, source_size, target, (whole * size + CASE WHEN rest <= 0 THEN 0 WHEN rest >= words THEN size ELSE greatest(0, least(n * size, rest - before)) // n END)::BIGINT AS taken FROM g""",
+    "op12_target_importance_draw": rf"""
+WITH low AS (SELECT row_number() OVER () AS rid, 0 AS kind, doc_id, {_LOWERED} AS text FROM documents
+    UNION ALL SELECT row_number() OVER (), 1, NULL, {_LOWERED} FROM benchmark),
+cut AS (SELECT *, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM low),
+u AS (SELECT rid, kind, unnest(words) AS word FROM cut),
+bits AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS steps FROM range(256) r(i)),
+octets AS (SELECT word, [list_position(['0','1','2','3','4','5','6','7','8','9','A','B','C','D','E','F'], h[2 * k - 1]) * 16 + list_position(['0','1','2','3','4','5','6','7','8','9','A','B','C','D','E','F'], h[2 * k]) - 17
+        FOR k IN range(1, length(h) // 2 + 1)] AS bytes FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM u))),
+crc AS (SELECT word, xor(4294967295, list_reduce(bytes, lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]), 4294967295)) % 10000 AS bucket FROM octets, bits),
+f AS (SELECT rid, kind, bucket FROM u JOIN crc USING (word)),
+n AS (SELECT bucket, count(*) FILTER (WHERE kind = 0) AS s, count(*) FILTER (WHERE kind = 1) AS t FROM f GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM n) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM n) + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+w AS (SELECT rid, count(*)::BIGINT AS n_features, sum(gain)::BIGINT AS total FROM f JOIN g USING (bucket) WHERE kind = 0 GROUP BY rid),
+h AS (SELECT cut.rid, doc_id, coalesce(n_features, 0) AS n_features, CASE WHEN n_features IS NULL THEN 0 ELSE (total - ((total % n_features) + n_features) % n_features) // n_features END AS weight,
+        ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM cut LEFT JOIN w ON cut.rid = w.rid WHERE kind = 0),
+k AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296.0::DOUBLE)))::BIGINT AS score FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place FROM k)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM k WHERE n_features >= 20) // 100 THEN place END::BIGINT AS rank FROM r""",
+    "op13_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWERED} AS text FROM documents),
+u AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM u GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+v AS (SELECT l.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN kept k ON l.lang = k.lang GROUP BY l.lang),
+c AS (SELECT u.lang, u.source, u.term, count(*) AS n FROM u JOIN kept k ON u.lang = k.lang AND u.term = k.term GROUP BY ALL),
+gr AS (SELECT DISTINCT lang, source FROM d),
+tot AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::BIGINT AS total FROM gr g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source),
+price AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (t.total + 5 * v.v) AS p
+    FROM tot t JOIN v ON t.lang = v.lang JOIN kept k ON t.lang = k.lang LEFT JOIN c ON t.lang = c.lang AND t.source = c.source AND k.term = c.term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS q FROM (SELECT c.lang, c.term, sum(n) AS n, any_value(v.v) AS v, any_value(s.total) AS total
+    FROM c JOIN v ON c.lang = v.lang JOIN (SELECT lang, sum(n) AS total FROM c GROUP BY lang) s ON c.lang = s.lang GROUP BY c.lang, c.term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM gr a JOIN gr b ON a.lang = b.lang AND a.source <> b.source),
+diff AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p))::BIGINT AS value FROM price x JOIN price y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+every AS (SELECT p.lang, p.source, 'pair' AS part, p.item, coalesce(value, 0)::BIGINT AS value FROM pairs p LEFT JOIN diff ON p.lang = diff.lang AND p.source = diff.source AND p.item = diff.item
+    UNION ALL SELECT x.lang, x.source, 'term', x.term, (p - q)::BIGINT FROM price x JOIN q ON x.lang = q.lang AND x.term = q.term WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every) WHERE part = 'pair' OR rank <= 50""",
 }
