@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from itertools import chain
@@ -25,6 +26,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +38,8 @@ from .common import reliable, text_or_empty
 
 LEXICON_WORDS = 65_536
 LONGEST_WORD = 64  # bytes of a word of the lexicon
-PIECE = 1 << 20
-MEMO_WORDS = 100_000  # merged words that a task remembers
+PIECE = 1 << 22  # characters that are encoded together
+_NEVER = np.iinfo(np.int32).max
 
 
 def read_spec(path: str) -> dict[str, Any]:
@@ -109,6 +111,83 @@ class Rules:
             ids[at : at + 2] = [best[1]]
         return tuple(ids)
 
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merges as sorted keys, their ranks and what they make."""
+        if not hasattr(self, "_sorted"):
+            found = sorted((a * len(self.tokens) + b, rank, whole) for (a, b), (rank, whole) in self.merges.items())
+            self._sorted = tuple(np.array(x, dtype=t) for x, t in zip(zip(*found), (np.int64, np.int32, np.int32))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        return self._sorted
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (none: ``_NEVER``) and what it makes."""
+        keys, ranks, wholes = self._pairs()
+        if not len(keys):
+            return np.full(len(left), _NEVER, np.int32), np.zeros(len(left), np.int32)
+        key = left.astype(np.int64) * len(self.tokens) + right
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, ranks[at], _NEVER), wholes[at]
+
+    def merge_all(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words (bytes and offsets) one after another and how many each has; the same merges, a step of all words at once."""
+        size = np.diff(offsets)
+        counts = np.zeros(len(size), dtype=np.int64)
+        pools: list[np.ndarray] = []
+        order: list[np.ndarray] = []
+        for low, high in ((0, 12), (12, LONGEST_WORD)):
+            rows = np.flatnonzero((size > low) & (size <= high))
+            if len(rows):
+                ids, n = self._merge_block(data, offsets[rows], size[rows])
+                counts[rows] = n
+                pools.append(ids)
+                order.append(rows)
+        for row in np.flatnonzero(size > LONGEST_WORD):
+            ids = np.array(self.merge(data[offsets[row] : offsets[row + 1]].tobytes()), dtype=np.int32)
+            counts[row] = len(ids)
+            pools.append(ids)
+            order.append(np.array([row]))
+        if not pools:
+            return np.zeros(0, np.int32), counts
+        rows = np.concatenate(order)
+        starts = np.zeros(len(size), dtype=np.int64)
+        starts[rows] = np.cumsum(counts[rows]) - counts[rows]
+        return transducer.gather(np.concatenate(pools), starts, counts), counts
+
+    def _merge_block(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, width = len(size), int(size.max())
+        column = np.arange(width)
+        there = column < size[:, None]
+        row_of, col_of = np.nonzero(there)
+        ids = np.full((n, width), -1, dtype=np.int32)
+        ids[row_of, col_of] = np.array(self.inner, dtype=np.int32)[data[starts[row_of] + col_of]]
+        every = np.arange(n)
+        ids[every, size - 1] = np.array(self.last, dtype=np.int32)[data[starts + size - 1]]
+        after = np.where(column + 1 < size[:, None], column + 1, width).astype(np.int32)
+        before = np.broadcast_to((column - 1).astype(np.int32), (n, width)).copy()
+        rank = np.full((n, width), _NEVER, dtype=np.int32)
+        whole = np.zeros((n, width), dtype=np.int32)
+        paired = col_of + 1 < size[row_of]
+        r, c = row_of[paired], col_of[paired]
+        rank[r, c], whole[r, c] = self._rank(ids[r, c], ids[r, c + 1])
+        rows = every
+        while len(rows):
+            at = rank[rows].argmin(axis=1)  # the leftmost of the lowest rank
+            on = rank[rows, at] < _NEVER
+            rows, at = rows[on], at[on]
+            gone = after[rows, at]
+            ids[rows, at], ids[rows, gone], rank[rows, gone] = whole[rows, at], -1, _NEVER
+            right = after[rows, gone]
+            after[rows, at], rank[rows, at] = right, _NEVER
+            on = right < width
+            r, c, d = rows[on], at[on], right[on]
+            before[r, d] = c
+            rank[r, c], whole[r, c] = self._rank(ids[r, c], ids[r, d])
+            left = before[rows, at]
+            on = left >= 0
+            r, c, d = rows[on], left[on], at[on]
+            rank[r, c], whole[r, c] = self._rank(ids[r, c], ids[r, d])
+        kept = ids >= 0
+        return ids[kept], kept.sum(axis=1)
+
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same through a heap of pairs and links between neighbours."""
         merges, n = self.merges, len(ids)
@@ -136,8 +215,8 @@ class Rules:
 class Cutter:
     """Words of texts, as the tokenizers library normalises and splits them.
 
-    ASCII text is lower-cased here; other text goes through the library's normaliser.  The split runs in ``regex``; a
-    text with a character that the two libraries' Unicode tables class differently is split by the library.
+    Text of the first 0x300 characters has no marks to compose and is lower-cased and split here; other text goes through the
+    library's normaliser and ``regex``, and is split by the library itself if it has a character that the two class differently.
     """
 
     def __init__(self, rules: Rules):
@@ -146,7 +225,16 @@ class Cutter:
         empty = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "post_processor": None, "decoder": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}
         library = Tokenizer.from_str(json.dumps(empty | rules.cut))
         self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.find = regex.compile(rules.cut["pre_tokenizer"]["pattern"]["Regex"]).findall
+        pattern = rules.cut["pre_tokenizer"]["pattern"]["Regex"]
+        self.find = regex.compile(pattern).findall
+        self.plain = None
+        if "\\" not in re.sub(r"\[[^\]]*\]", "", pattern):  # classes of characters only inside brackets
+            for name in (r"\p{L}", r"\p{N}", r"\s"):
+                of = regex.compile(name)
+                pattern = pattern.replace(name, "".join(f"\\u{i:04x}" for i in range(0x300) if of.match(chr(i))))
+            if not re.search(r"\\[^u]", pattern):
+                self.plain = re.compile(pattern).findall
+        self.beyond = re.compile("[^\x00-\u02ff]").search
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(rules.specials, key=len, reverse=True))) + ")") if rules.specials else None
         self.agreed = set(map(chr, range(128)))
 
@@ -159,8 +247,8 @@ class Cutter:
         return out
 
     def _words(self, text: str) -> list[str]:
-        if text.isascii():
-            return self.find(text.lower())
+        if self.plain is not None and (text.isascii() or not self.beyond(text)):
+            return self.plain(text.lower())
         text = self.normalise(text)
         unsure = set(text) - self.agreed
         if unsure:
@@ -208,22 +296,10 @@ def _buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Encodes lists of texts; remembers merged words of a task up to ``MEMO_WORDS``."""
+    """Encodes lists of texts."""
 
     def __init__(self, rules: Rules, lexicon: transducer.Transducer):
         self.rules, self.lexicon, self.cutter = rules, lexicon, Cutter(rules)
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def _merged(self, word: str) -> tuple[int, ...]:
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            special = self.rules.specials.get(word)  # a cut word never looks like one: its signs and letters are apart
-            found = (special,) if special is not None else self.rules.merge(word.encode())
-            if len(word) <= LONGEST_WORD:
-                self.memo[word] = found
-        return found
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has."""
@@ -232,12 +308,15 @@ class Encoder:
         codes, distinct = _numbered(words)
         known, counts, pool = self.lexicon.walk(*_buffers(distinct))
         starts = np.cumsum(counts) - counts
+        special = {at.as_py(): i for at, i in zip(pc.index_in(pa.array(list(self.rules.specials), distinct.type), value_set=distinct), self.rules.specials.values()) if at.is_valid}
+        for at, i in special.items():  # a cut word never looks like one: its signs and letters are apart
+            known[at], counts[at], starts[at] = True, 1, len(pool)
+            pool = np.append(pool, np.int32(i))
         rest = np.flatnonzero(~known)
-        merged = [self._merged(w) for w in distinct.take(pa.array(rest)).to_pylist()]
-        counts[rest] = np.fromiter(map(len, merged), dtype=np.int64, count=len(merged))
-        starts[rest] = len(pool) + np.cumsum(counts[rest]) - counts[rest]
-        pool = np.concatenate([pool, np.fromiter((i for m in merged for i in m), dtype=np.int32)])
-        return transducer.gather(pool, starts[codes], counts[codes]).astype(np.int32), counts[codes]
+        merged, n = self.rules.merge_all(*_buffers(distinct.take(pa.array(rest))))
+        counts[rest] = n
+        starts[rest] = len(pool) + np.cumsum(n) - n
+        return transducer.gather(np.concatenate([pool, merged]), starts[codes], counts[codes]).astype(np.int32), counts[codes]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and where each text's ids begin (with the end of the last)."""
