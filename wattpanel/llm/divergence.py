@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast
 from .common import reliable
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -34,12 +35,16 @@ SMOOTH = 5
 SCALE = 1_000_000_000
 BLOCK = 8_192
 TILE = 8
-PIECE = 1 << 20  # characters of text that are counted together
+PIECE = 1 << 22  # characters of text that are counted together
 _SAFE = (1 << 62) // SCALE
 
 
+def _plain(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (documents with the term); a group without terms has one row with a null term."""
+    """lang, source, term, n (occurrences) and docs (documents with the term)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(TERM).findall
@@ -64,9 +69,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
             _, in_docs = np.unique(group[by_row // width] * width + by_row % width, return_counts=True)
             names = [pa.array([g[i] for g in groups], pa.string()) for i in (0, 1)]
             at = pa.array(pair // width)
-            bare = [pa.nulls(len(groups), t) for t in (pa.string(), pa.int64(), pa.int64())]
-            filled = [coded.dictionary.take(pa.array(pair % width)), pa.array(n), pa.array(in_docs)]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([x.take(at), x]) for x in names] + [pa.concat_arrays([x, y]) for x, y in zip(filled, bare)], ["lang", "source", "term", "n", "docs"])
+            columns = [*[x.take(at) for x in names], coded.dictionary.take(pa.array(pair % width)), pa.array(n), pa.array(in_docs)]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
             groups: dict[tuple[str, str], int] = {}
@@ -88,8 +92,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                     yield counted(list(groups), of, words, owners, lengths)
                     groups, of, words, owners, lengths, size = {}, [], [], [], [], 0
 
-    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    parts = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    parts = _plain(docs, "lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -175,21 +178,23 @@ def _pair_sums(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value and rank: all other sources of each group, and its ``top`` most overused terms."""
-    counts = reliable(term_counts(docs))
-    named = counts.filter(F.col("term").isNotNull())
-    kept = named.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n")).filter(F.col("docs") >= min_docs).drop("docs")
+    each = Window.partitionBy("lang", "term")  # a row for each source
+    used = term_counts(docs).withColumns({"_docs": F.sum("docs").over(each), "all_n": F.sum("n").over(each)}).filter(F.col("_docs") >= min_docs)
+    used = reliable(used.select("lang", "source", "term", "n", "all_n"))
+    kept = used.select("lang", "term", "all_n").distinct()
+    groups = reliable(_plain(docs, "lang", "source").distinct())
     size = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all_n").alias("all_total"))
-    langs = counts.select("lang").distinct().join(size, "lang", "left").fillna(0, ["kept", "all_total"])
-    langs = reliable(langs.withColumn("blocks", F.greatest(F.ceil(F.col("kept") / BLOCK), F.lit(1)).cast("long")))
+    langs = groups.select("lang").distinct().join(size, "lang", "left").fillna(0, ["kept", "all_total"])
+    langs = bounded_broadcast(reliable(langs.withColumn("blocks", F.greatest(F.ceil(F.col("kept") / BLOCK), F.lit(1)).cast("long"))))
     block = F.pmod(F.xxhash64("term"), F.col("blocks"))
     inside = Window.partitionBy("lang", "block").orderBy("term")
-    terms = kept.join(langs, "lang").withColumn("block", block).withColumn("id", F.row_number().over(inside))
-    used = reliable(named.select("lang", "source", "term", "n").join(terms, ["lang", "term"]))
+    terms = reliable(kept.join(langs, "lang").withColumn("block", block).withColumn("id", F.row_number().over(inside)))
+    used = reliable(used.drop("all_n").join(terms, ["lang", "term"]))
 
     totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = counts.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").fillna(0, ["total"]).join(langs, "lang")
-    tiles = groups.groupBy("lang").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
-    groups = reliable(groups.join(tiles, "lang").withColumn("tile", F.pmod(F.xxhash64("source"), F.col("tiles"))))
+    tiles = bounded_broadcast(groups.groupBy("lang").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles")))
+    groups = groups.join(totals, ["lang", "source"], "left").fillna(0, ["total"]).join(langs, "lang").join(tiles, "lang")
+    groups = reliable(groups.withColumn("tile", F.pmod(F.xxhash64("source"), F.col("tiles"))))
 
     arrays = used.groupBy("lang", "source", "block").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("pairs"))
     sizes = terms.groupBy("lang", "block").agg(F.count("*").alias("terms"))

@@ -142,10 +142,16 @@ def weighed(rows: DataFrame, gain: np.ndarray) -> DataFrame:
         for batch in batches:
             lists = batch.column(2)
             ends = lists.offsets.to_numpy().astype(np.int64)
-            upto = np.concatenate([[0], np.cumsum(shared.value[lists.values.to_numpy()[ends[0] : ends[-1]]])])
-            n = np.diff(ends)
-            total = np.diff(upto[ends - ends[0]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total // np.maximum(n, 1))], ["doc_id", "n_words", "n_features", "weight"])
+            at = 0
+            while at < batch.num_rows:  # rows of about ``PIECE`` // 4 n-grams, one row at least
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE // 4, side="right")) - 1)
+                inside = ends[at : to + 1]
+                upto = np.concatenate([[0], np.cumsum(shared.value[lists.values.to_numpy()[inside[0] : inside[-1]]])])
+                n = np.diff(inside)
+                total = np.diff(upto[inside - inside[0]])
+                rows = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n), pa.array(total // np.maximum(n, 1))], ["doc_id", "n_words", "n_features", "weight"])
+                at = to
 
     return rows.select("doc_id", "n_words", "buckets").mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
