@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..operators import folds as K
 from ..operators.lags import lag_fallback
-from ..session import cut_lineage
 from ..sources import fixtures as fx
 from ..sources.io import read_table
 from . import features as FT
@@ -18,7 +16,6 @@ from .q_weather import FCW_CTE, HCW_CTE, WX_FIX, county_forecast, county_hist
 from .registry import query
 
 SEG = FT.SEGMENT
-FOLD_FRACTIONS = (1 / 2, 2 / 3, 5 / 6)  # of the span of the data, for each fold's training rows
 _WX = ["temperature", "dewpoint", "snowfall", "rain", "windspeed_10m"]
 
 # --- The production frame: delayed client, county weather at lag 0, hour -------------------------
@@ -165,18 +162,14 @@ def solar_fit(spark, sf):
                                        "rounds long, converged boolean")
 
 
+RESTARTS = 24
+
+
 @query("param_stability")
 def param_stability(spark, sf):
-    """Random restarts: several start points per product type fitted in the same jobs."""
-    df = solar_frame(spark, sf)
-    runs = 3
-    groups = [r[0] for r in df.select("product_type").distinct().collect()]
-    starts = SO.random_starts(groups, runs, seed=7)
-    x = df.select("*", F.explode(F.array(*[F.lit(i) for i in range(runs)])).alias("run_id"))
-    x = x.withColumn("run_group", F.concat_ws("_", F.col("run_id").cast("string"), F.col("product_type").cast("string")))
-    st = {f"{r}_{g}": v for (r, g), v in starts.items()}
-    state, _ = SO.fit_pattern_search(x, "run_group", "target", starts=st)
-    rows = [(k, float(s["mae"]), int(s["n"]), s["rounds"], s["converged"], *[float(s["theta"][n]) for n in sorted(SO.DEFAULT_WEIGHTS)])
+    """Random restarts: ``RESTARTS`` start points per product type, searched in the same jobs over the same rows."""
+    state, _ = SO.fit_pattern_search(solar_frame(spark, sf), "product_type", "target", restarts=RESTARTS, seed=7)
+    rows = [(str(k), float(s["mae"]), int(s["n"]), s["rounds"], s["converged"], *[float(s["theta"][n]) for n in sorted(SO.DEFAULT_WEIGHTS)])
             for k, s in state.items()]
     cols = "run_group string, mae double, n long, rounds long, converged boolean, " + ", ".join(f"{n} double" for n in sorted(SO.DEFAULT_WEIGHTS))
     return spark.createDataFrame(rows, cols)
@@ -185,14 +178,16 @@ def param_stability(spark, sf):
 # --- Trees ------------------------------------------------------------------------------------------
 GBT_FEATURES = ["county", "is_business", "product_type", "is_consumption", "hour", "dayofyear", "weekday", "p48", "p168"]
 
+GBT_SEEDS = (0, 1)
+GBT_PARAMS = {"maxIter": 20, "maxDepth": 6, "minInstancesPerNode": 20}
+
 
 @query("gbt_ensemble")
 def gbt_ensemble(spark, sf):
     """Two-seed L1 GBT ensemble trained on the first two thirds of the data's span and scored after it."""
     e = eval_frame(spark, sf).withColumns(FT.S.calendar_columns())
     cut = F.lit(K.fraction_cuts(e, [2 / 3])[0]).cast("timestamp")
-    models = MD.fit_gbt_ensemble(e.filter(F.col("datetime") <= cut), GBT_FEATURES, "target", seeds=(0, 1),
-                                 params={"maxIter": 10, "maxDepth": 4, "minInstancesPerNode": 20})
+    models = MD.fit_gbt_ensemble(e.filter(F.col("datetime") <= cut), GBT_FEATURES, "target", seeds=GBT_SEEDS, params=GBT_PARAMS)
     return MD.predict_ensemble(models, e.filter(F.col("datetime") > cut), GBT_FEATURES).select("row_id", "prediction")
 
 
@@ -333,33 +328,13 @@ def _eval_sql():
 
 @query("eval_hist_vs_forecast", _eval_sql(), SX_FIX)
 def eval_hist_vs_forecast(spark, sf):
-    """Per fold, validation MAE on historical weather and again with the forecast columns swapped in."""
-    df = solar_frame(spark, sf)
-    folds = K.temporal_folds(df, ["2024-01-15", "2024-01-22"]).filter(F.col("role") == "val")
-    hist = folds.select("fold", F.lit("historical").alias("weather"),
-                        F.abs(SO.solar_output(SO.DEFAULT_WEIGHTS) - F.col("target")).alias("err"))
-    swapped = S.swap_hist_forecast(folds)
-    fc = swapped.select("fold", F.lit("forecast").alias("weather"),
-                        F.abs(SO.solar_output(SO.DEFAULT_WEIGHTS) - F.col("target")).alias("err"))
-    return hist.unionByName(fc).groupBy("fold", "weather").agg(F.avg("err").alias("mae"))
-
-
-def training_frame(spark, sf):
-    """Production and consumption rows with weather, client, calendar and per-eic lags."""
-    base = solar_frame(spark, sf, production_only=False).withColumns(FT.S.calendar_columns())
-    p = fx.panel(spark, sf)
-    norm = FT.normalised_target(p, fx.client(spark, sf))
-    lags = lag_fallback(p.select("row_id", *SEG, "datetime"), norm, "target_per_eic", [48, 168])
-    return base.join(lags.select("row_id", "target_per_eic_48h", "target_per_eic_168h"), "row_id", "left")
-
+    """Per fold, validation MAE on historical weather and again with the forecast columns swapped in.
 
-@query("train_evaluate")
-def train_evaluate(spark, sf):
-    """Fold loop of the training job: fit, score on historical and on swapped-in forecast weather (3.2).
-
-    Folds are cut at ``FOLD_FRACTIONS`` of the data's span.
+    Both errors are columns of one scan, and the folds bits of a mask, so rows meet neither a second time.
     """
-    from .train import train_evaluate as run
-
-    frame = cut_lineage(training_frame(spark, sf))
-    return run(frame, K.fraction_cuts(frame, FOLD_FRACTIONS))
+    folds = K.date_folds(["2024-01-15", "2024-01-22"])
+    swapped = {k: v.replace("_historical", "_forecast") for k, v in SO.REGRESSORS.items()}
+    errors = {name: F.abs(SO.solar_output(SO.DEFAULT_WEIGHTS, reg) - F.col("target"))
+              for name, reg in (("historical", SO.REGRESSORS), ("forecast", swapped))}
+    df = solar_frame(spark, sf).withColumn("_folds", K.fold_mask(folds))
+    return K.per_fold(df, folds, errors).select("fold", F.col("name").alias("weather"), F.col("mean").alias("mae"))

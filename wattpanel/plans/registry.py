@@ -32,6 +32,7 @@ def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:
     from . import (  # noqa: F401
         q_geo,
         q_io,
+        q_joined,
         q_metrics,
         q_models,
         q_panel,
