@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
+from ..operators.lags import lag_fallback, lookback_min, lookback_prune
 from ..schemas import KEYS
 from ..session import remove_dir, scratch_dir
 from ..sources import fixtures as fx
 from ..sources.io import read_table
 from ..streaming import feeds
 from . import features as FT
+from . import joined as J
 from . import solar as SO
-from .q_models import REG_SQL, SX_CTE, SX_FIX, _norm_sql, solar_sql
+from .q_models import REG_SQL, SX_CTE, SX_FIX, _norm_sql, group_params, solar_frame, solar_sql
 from .q_panel import _target_family_sql
+from .q_weather import U, V
 from .registry import query
 
 KEY = [*FT.SEGMENT, "datetime"]
@@ -121,7 +128,6 @@ def stream_features(spark, sf):
     """Target features refreshed per arriving batch of items; equals the batch ``lag_fallback``."""
     panel = fx.panel(spark, sf)
     items = panel.drop("target")
-    from ..operators.lags import lookback_min, lookback_prune
 
     def build(batch):
         start = lookback_min(batch, "datetime")
@@ -156,55 +162,133 @@ def stream_sliding_sum(spark, sf):
     return _streamed(spark, _thirds(fx.panel(spark, sf).select("county", "datetime", "target")), job)
 
 
+@query("stream_compacted", _UPSERT_SQL, ("panel",))
+def stream_compacted(spark, sf):
+    """``upsert_latest`` through a compacted state: six drops, drained by two runs of the same job, a snapshot every two batches."""
+    folder, state, checkpoint = (scratch_dir(p) for p in ("feed-", "state-", "stream-"))
+    for block, drops in enumerate((_thirds(fx.panel(spark, sf)), _thirds(_new_rows(spark, sf)))):
+        schema = _write_feed([d.withColumn(feeds.BLOCK, F.lit(block).cast("long")) for d in drops], f"{folder}/run={block}")
+        out = feeds.stream_state(spark, folder, schema, state, checkpoint, KEY, 2, 1)
+    remove_dir(spark, folder)
+    remove_dir(spark, checkpoint)
+    return out
+
+
+# --- Inference with tables refreshed before each prediction -----------------------------------------
+STEPS = 4  # blocks of equal span of the panel
+IDLE, GAP = 1, 2  # the block that is not scored, and the one whose items lack inputs
 _FORECAST_REG = {k: v.replace("_historical", "_forecast") for k, v in REG_SQL.items()}
 
 
-@query("stream_inference", f"""WITH {SX_CTE}, {_norm_sql()},
-p AS (SELECT sx.row_id, date_diff('day', DATE '2024-01-01', CAST(sx.datetime AS DATE)) AS data_block_id,
-  day(sx.datetime) NOT BETWEEN 11 AND 20 AS scored,
-  CASE WHEN sx.datetime < (SELECT min(datetime) FROM panel) + INTERVAL 48 HOUR THEN NULL
-    WHEN sx.is_consumption = 0 THEN coalesce({solar_sql(SO.DEFAULT_WEIGHTS, _FORECAST_REG)}, 0.0)
-    ELSE coalesce(df.target_per_eic_48h * sx.eic_count, 0.0) END AS prediction
-  FROM sx LEFT JOIN df ON df.row_id = sx.row_id),
-g AS (SELECT data_block_id, bool_or(scored) AS needed, bool_or(prediction IS NULL) AS missing FROM p GROUP BY 1)
-SELECT row_id, data_block_id, CASE WHEN NOT needed THEN 0.0 WHEN missing THEN 44444444.0 WHEN prediction < 0 THEN 0.0
-  ELSE prediction END AS target FROM p JOIN g USING (data_block_id)""", SX_FIX)
+def _step_sql(t: str) -> str:
+    return f"CAST(least({STEPS - 1}, greatest(0, floor((epoch({t}) - lo) * {STEPS} / (hi - lo + 1)))) AS BIGINT)"
+
+
+def _inference_sql() -> str:
+    """The states of each scored block written out: rows that had arrived by then, corrected where the correction had."""
+    arrives = _step_sql("p.datetime + INTERVAL 48 HOUR")
+    ctes, union = [], []
+    whole = " AND ".join(f"sx.{c} IS NOT NULL" for c in sorted(set(_FORECAST_REG.values())))
+    case = " ".join(f"WHEN product_type = {g} THEN {solar_sql(th, _FORECAST_REG)}" for g, th in group_params().items())
+    mean = " + ".join(solar_sql(th, _FORECAST_REG) for th in group_params().values())
+    for b in sorted(set(range(STEPS)) - {IDLE}):
+        family = _norm_sql().replace("WHERE p.is_consumption = 1", "")
+        for name in ("target_per_eic_m1", "target_per_eic_m2", "norm"):
+            family = re.sub(rf"\b{name}\b", f"{name}_s{b}", family)
+        family = family.replace("FROM panel p LEFT JOIN client c ON c.county = p.county AND c.is_business = p.is_business\n  AND c.product_type = p.product_type AND c.date = CAST(p.datetime AS DATE)",
+                                f"FROM panel_s{b} p LEFT JOIN client c ON c.county = p.county AND c.is_business = p.is_business AND c.product_type = p.product_type AND c.date = CAST(p.datetime AS DATE)", 1)
+        family = re.sub(r"\bj AS", f"j_s{b} AS", family)
+        family = re.sub(r"\bdf AS", f"df_s{b} AS", family)
+        family = re.sub(r"FROM j\)", f"FROM j_s{b})", family)
+        ctes.append(f"panel_s{b} AS (SELECT p.* REPLACE (p.target + CASE WHEN p.row_id % 3 = 0 AND {arrives} + 1 <= {b} THEN 1 ELSE 0 END AS target) "
+                    f"FROM panel p, span WHERE {arrives} <= {b})")
+        ctes.append(family)
+        union.append(f"""SELECT i.row_id, i.blk, CASE WHEN sx.is_consumption = 0 THEN CASE {case} ELSE ({mean}) / {len(group_params())} END
+    ELSE (0.6 * (d.target_per_eic_48h * sx.eic_count) + 0.4 * (d.target_per_eic_168h * sx.eic_count)) / 1.0 END AS prediction
+  FROM items i JOIN sx ON sx.row_id = i.row_id JOIN df_s{b} d ON d.row_id = i.row_id WHERE i.blk = {b}""")
+    return f"""WITH {SX_CTE}, span AS (SELECT epoch(min(datetime)) AS lo, epoch(max(datetime)) AS hi FROM panel),
+{_norm_sql().replace("WHERE p.is_consumption = 1", "")},
+items AS (SELECT sx.row_id, {_step_sql("sx.datetime")} AS blk FROM sx JOIN df ON df.row_id = sx.row_id, span
+  WHERE {_step_sql("sx.datetime")} = {GAP} OR ({whole} AND df.target_per_eic_48h IS NOT NULL AND df.target_per_eic_168h IS NOT NULL)),
+{', '.join(ctes)},
+preds AS ({' UNION ALL '.join(union)}),
+flags AS (SELECT blk, bool_or(prediction IS NULL) AS missing FROM preds GROUP BY blk)
+SELECT row_id, blk AS data_block_id, CASE WHEN missing THEN 44444444.0 WHEN prediction < 0 THEN 0.0 ELSE prediction END AS target
+FROM preds JOIN flags USING (blk) UNION ALL SELECT row_id, blk, 0.0 FROM items WHERE blk = {IDLE}"""
+
+
+def _save_bundle(spark, folder):
+    """A model of given parameters: the solar formula per product type, and persistence of 48 h and 168 h for consumption."""
+    params = SO.params_frame(spark, "product_type", group_params())
+    J.JoinedModel(params, [J.Part((), 48), J.Part((), 168)], [0.6, 0.4], combine="first").save(folder)
+
+
+@query("stream_inference", _inference_sql(), SX_FIX)
 def stream_inference(spark, sf):
-    """Items of every day are one data block; days 11 to 20 of a month are not scored.
+    """Every step brings the tables' new rows and the items of a quarter of the panel's span; a loaded model scores them.
 
-    Per block: client, county weather at the item hour, per-eic lags with fallback
-    (look-back over the history), forecast swapped in, solar formula for production
-    and 48 h per-eic persistence for consumption (0 where that hour lacks weather or history), then the guard.  In the
-    first 48 hours no history reaches back far enough, so nothing is predicted and the sentinel fires.
+    Targets arrive two days after their hour, a third of them again, corrected, one step later; clients arrive two days late.  The
+    items of the second step are not scored, those of the third include rows without forecast or history, so that the sentinel
+    fires for that step.  All look-back reads the states as of the step.
     """
-    from ..operators.lags import lag_fallback, lookback_min, lookback_prune
-    from ..streaming.inference import run_inference
-    from .q_weather import county_forecast, county_hist
+    from ..streaming.inference import run_refreshed
 
-    panel = fx.panel(spark, sf)
-    client = fx.client(spark, sf).checkpoint()
-    norm = FT.normalised_target(panel, client).checkpoint()
-    hcw = county_hist(spark, sf)[0].checkpoint()
-    fcw = county_forecast(spark, sf)[0].checkpoint()
-    begin = panel.agg(F.min("datetime")).first()[0]
+    panel = fx.panel(spark, sf).checkpoint()
+    client, hist = fx.client(spark, sf), fx.hist_weather(spark, sf)
+    forecast = fx.forecast_weather(spark, sf).withColumnsRenamed({"u10": U, "v10": V}).withColumn(
+        "forecast_datetime", F.expr("origin_datetime + make_dt_interval(0, hours_ahead)"))
+    ev = read_table(spark, sf, "events")
+    gas = ev.groupBy(F.to_date("ts").alias("forecast_date")).agg(F.min("value").alias("lowest_price_per_mwh"), F.max("value").alias("highest_price_per_mwh"))
+    power = ev.groupBy(F.date_trunc("hour", "ts").alias("forecast_date")).agg(F.max("value").alias("euros_per_mwh"))
+    stations = fx.station_weights(spark, sf).checkpoint()
+    lo, hi = panel.agg(F.min(F.unix_timestamp("datetime")), F.max(F.unix_timestamp("datetime"))).first()
+
+    def arrives(when):
+        at = F.floor((F.unix_timestamp(when) - F.lit(lo)) * STEPS / (F.lit(hi) - F.lit(lo) + 1))
+        return F.least(F.lit(STEPS - 1), F.greatest(F.lit(0), at)).cast("long")
+
+    target = panel.drop("row_id").withColumn(feeds.BLOCK, arrives(F.expr("datetime + INTERVAL 48 HOURS")))
+    again = panel.filter("row_id % 3 = 0").drop("row_id").withColumns({
+        "target": F.col("target") + 1, feeds.BLOCK: arrives(F.expr("datetime + INTERVAL 48 HOURS")) + 1})
+    whole = joined_inputs(spark, sf)
+    items = panel.drop("target").join(whole, "row_id").withColumns({feeds.BLOCK: arrives("datetime"), "currently_scored": arrives("datetime") != IDLE})
+    items = items.filter((F.col(feeds.BLOCK) == GAP) | F.col("whole")).drop("whole")
+    drops = {"client": client.withColumn(feeds.BLOCK, arrives(F.expr("cast(date as timestamp) + INTERVAL 48 HOURS"))),
+             "gas_prices": gas.withColumn(feeds.BLOCK, arrives(F.col("forecast_date").cast("timestamp"))),
+             "electricity_prices": power.withColumn(feeds.BLOCK, arrives("forecast_date")),
+             "forecast_weather": forecast.withColumn(feeds.BLOCK, arrives("forecast_datetime")),
+             "historical_weather": hist.withColumn(feeds.BLOCK, arrives("datetime")),
+             "target": target.unionByName(again), "items": items}
+    folder, state, checkpoint, bundle = (scratch_dir(p) for p in ("feed-", "state-", "stream-", "bundle-"))
+    for name, df in drops.items():
+        df.write.parquet(f"{folder}/{name}")
+    _save_bundle(spark, bundle)
+    model = J.load(spark, bundle)
     wx = ["temperature", "dewpoint", "snowfall", "rain", "windspeed_10m"]
-    items = panel.select("row_id", *FT.SEGMENT, "datetime", F.datediff(F.to_date("datetime"), F.lit("2024-01-01").cast("date")).cast("long").alias(feeds.BLOCK),
-                         (~F.dayofmonth("datetime").between(11, 20)).alias("currently_scored"))
 
-    def build(batch):
-        b = FT.client_features(FT.with_date(batch), client).drop("date")
-        h = hcw.select("county", "datetime", *[F.col(c).alias(f"{c}_historical") for c in wx])
-        f = fcw.select("county", "datetime", *[F.col(c).alias(f"{c}_forecast") for c in wx],
-                       F.col("surface_solar_radiation_downwards").alias("surface_solar_radiation_downwards_forecast"))
+    def build(asked, tables):
+        b = FT.client_features(FT.with_date(asked), tables["client"]).drop("date")
+        h = FT.county_hist_weather(tables["historical_weather"], stations)[0]
+        f = FT.county_forecast_weather(tables["forecast_weather"].drop("forecast_datetime"), stations)[0]
+        h = h.select("county", "datetime", *[F.col(c).alias(f"{c}_historical") for c in wx])
+        f = f.select("county", "datetime", *[F.col(c).alias(f"{c}_forecast") for c in wx],
+                     F.col("surface_solar_radiation_downwards").alias("surface_solar_radiation_downwards_forecast"))
         b = b.join(h, ["county", "datetime"], "left").join(f, ["county", "datetime"], "left")
-        hist = lookback_prune(norm, "datetime", lookback_min(batch, "datetime"), 48)
-        return lag_fallback(b, hist, "target_per_eic", [48])
+        norm = FT.normalised_target(tables["target"], tables["client"])
+        past = lookback_prune(norm, "datetime", lookback_min(asked, "datetime"), 168)
+        return lag_fallback(b, past, "target_per_eic", [48, 168])
+
+    out = run_refreshed(spark, folder, state, checkpoint, {n: d.schema for n, d in drops.items()}, KEYS, build, model.predict)
+    for path in (folder, checkpoint, bundle):
+        remove_dir(spark, path)
+    return out
 
-    def score(feats):
-        prod = F.coalesce(SO.solar_output(SO.DEFAULT_WEIGHTS), F.lit(0.0))
-        cons = F.coalesce(F.col("target_per_eic_48h") * F.col("eic_count"), F.lit(0.0))
-        value = F.when(F.col("is_consumption") == 0, prod).otherwise(cons)
-        return feats.withColumn("prediction", F.when(F.expr("datetime - INTERVAL 48 HOURS") >= F.lit(begin), value))
 
-    return _streamed(spark, _thirds(items), lambda folder, schema, out, ck: run_inference(
-        spark, feeds.read_feed(spark, folder, schema), out, ck, build, score))
+def joined_inputs(spark, sf):
+    """row_id and whole: whether the row has client, forecast weather and both lags in the end."""
+    base = solar_frame(spark, sf, production_only=False)
+    norm = FT.normalised_target(fx.panel(spark, sf), fx.client(spark, sf))
+    lags = lag_fallback(fx.panel(spark, sf).select("row_id", *FT.SEGMENT, "datetime"), norm, "target_per_eic", [48, 168])
+    needed = [*sorted(set(_FORECAST_REG.values())), "target_per_eic_48h", "target_per_eic_168h"]
+    whole = reduce(and_, [F.col(c).isNotNull() for c in needed])
+    return base.join(lags.select("row_id", "target_per_eic_48h", "target_per_eic_168h"), "row_id", "left").select("row_id", whole.alias("whole"))

@@ -259,7 +259,7 @@ def _starts(groups: DataFrame, group_col: str, names: Sequence[str], init: Mappi
             starts: Mapping[object, Mapping[str, float]] | None, restarts: int, seed: int, drop_one: bool) -> DataFrame:
     none = F.array().cast("array<string>")
     if restarts:
-        runs = groups.withColumn("study", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).cast("string"))
+        runs = groups.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1)))).select(group_col, F.col("_run").cast("string").alias("study"))
         return runs.withColumn("_theta", uniform_start(names, bounds, seed, "study", group_col)).withColumn("_frozen", none)
     if drop_one:
         without = [F.struct(F.lit(n).alias("study"), _theta(names, {**init, **NEUTRAL[n]}).alias("_theta"),
