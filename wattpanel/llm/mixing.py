@@ -30,7 +30,9 @@ def _size(text: Column) -> Column:
 
 
 def _key() -> Column:
-    return F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("source"), text_or_empty()))
+    """A hash that names a row's id, source and text; the source has its length before it or a mark for null, so parts cannot run together."""
+    source = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat_ws(":", F.length("source").cast("string"), F.col("source")))
+    return F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), source, text_or_empty()))
 
 
 def _sources(sized: DataFrame, weights: tuple[int, ...]) -> DataFrame:

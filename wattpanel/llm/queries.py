@@ -152,7 +152,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 FROM base LEFT JOIN passed ON base.rid = passed.rid""",
     "op8_hypergeometric_mixing": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-        md5(concat_ws('|', coalesce(doc_id::VARCHAR, 'null'), source, coalesce(text, ''))) AS k FROM documents),
+        md5(concat_ws('|', coalesce(doc_id::VARCHAR, 'null'), CASE WHEN source IS NULL THEN '-' ELSE concat_ws(':', length(source)::VARCHAR, source) END, coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 v AS (SELECT *, (rank % 3 + 1)::DOUBLE AS weight, source_size * 3.0::DOUBLE AS most FROM s),
 f AS (SELECT *, ((SELECT sum(source_size) FROM v)::DOUBLE - coalesce(sum(most) OVER b, 0)) / ((SELECT sum(weight) FROM v) - coalesce(sum(weight) OVER b, 0)) AS level
