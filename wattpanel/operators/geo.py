@@ -1,9 +1,9 @@
 """Spatial operators: stations near capitals, weights, point in polygon, weather per county.
 
-(C2, C9-C12, D1, D5, D6).  Distance joins use a latitude/longitude grid as an
+(C2, C9-C12, D1, D5, D6).  Distance joins use cells of the sphere as an
 equi-join key (a point is compared only with the 3 x 3 neighbouring cells), then
-the exact haversine filter; polygon containment explodes edges into latitude bands
-so that a point meets only the edges that can cross its horizontal ray.
+the exact haversine filter; polygons are covered with grid cells, of which the inner ones need no edges
+and the others only the edges that pass through them.
 """
 
 from __future__ import annotations
@@ -28,25 +28,39 @@ def haversine_km(lat1, lon1, lat2, lon2, radius: float = EARTH_RADIUS_KM) -> F.C
     return 2 * radius * F.asin(F.sqrt(a))
 
 
-def _cells(max_km: float, max_abs_lat: float, radius: float) -> tuple[float, float]:
-    """Cell sizes (degrees) such that any pair closer than ``max_km`` is in neighbouring cells."""
-    ang = max_km / radius  # radians
-    cell_lat = math.degrees(ang)
-    cos_phi = math.cos(math.radians(min(max_abs_lat, 89.999)))
-    s = math.sin(ang / 2) / cos_phi
-    cell_lon = 360.0 if s >= 1 else math.degrees(2 * math.asin(s))
-    return cell_lat, max(cell_lon, 1e-9)
+class _Sphere:
+    """Cells on the sphere: latitude rows of the search radius, each cut into its own number of longitude cells.
+
+    Two points closer than ``max_km`` lie in the same or neighbouring rows, and in the same or neighbouring cells of either's
+    row.  Cells wrap at +/-180 degrees; a row that comes near a pole is one cell.
+    """
+
+    def __init__(self, max_km: float, radius: float):
+        self.angle = max_km / radius * (1 + 1e-9)
+        self.height = math.degrees(self.angle)
+
+    def row(self, lat: F.Column) -> F.Column:
+        return F.floor(lat / self.height)
+
+    def cells(self, row: F.Column) -> F.Column:
+        """How many cells a row has: each is as wide as any pair with a point in the row can be apart."""
+        far = F.greatest(F.abs(row - 1), F.abs(row + 2)) * self.height
+        s = F.lit(math.sin(self.angle / 2)) / F.cos(F.radians(far))
+        wide = F.degrees(2 * F.asin(F.least(s, F.lit(1.0))))
+        return F.when((far >= 89.9) | (s >= 1), F.lit(1)).otherwise(F.greatest(F.floor(360 / wide), F.lit(1))).cast("long")
+
+    def cell(self, lon: F.Column, cells: F.Column) -> F.Column:
+        return F.least(F.floor(F.pmod(lon, F.lit(360.0)) * cells / 360), cells - 1)
 
 
 def stations_within_km(capitals: DataFrame, stations: DataFrame, max_km: float = 100.0, swap_axes: bool = True,
                        radius: float = EARTH_RADIUS_KM) -> DataFrame:
-    """Capital x station pairs closer than ``max_km`` (C9, theta join as grid equi-join).
+    """Capital x station pairs closer than ``max_km`` (C9, theta join as an equi-join on cells of the sphere).
 
     ``capitals``: county, latitude, longitude.  ``stations``: latitude, longitude.
     ``swap_axes=True`` reproduces the reference, which hands (lon, lat) to a
     function expecting (lat, lon), so distances are those of swapped coordinates.
-    Returns county, longitude float, latitude float, dist double.
-    Longitudes are not wrapped at +/-180 degrees.
+    Returns county, longitude float, latitude float, dist double.  Pairs across +/-180 degrees and the poles are found.
     """
     st = stations.select("latitude", "longitude").distinct()
     cap = capitals.select("county", F.col("latitude").alias("c_lat"), F.col("longitude").alias("c_lon"))
@@ -55,25 +69,14 @@ def stations_within_km(capitals: DataFrame, stations: DataFrame, max_km: float =
         s_phi, s_lam, c_phi, c_lam = F.col("longitude"), F.col("latitude"), F.col("c_lon"), F.col("c_lat")
     else:
         s_phi, s_lam, c_phi, c_lam = F.col("latitude"), F.col("longitude"), F.col("c_lat"), F.col("c_lon")
-    st = st.withColumns({"_phi": s_phi, "_lam": s_lam})
+    grid = _Sphere(max_km, radius)
+    st = st.withColumns({"_phi": s_phi, "_lam": s_lam}).withColumn("_ci", grid.row(F.col("_phi")))
+    st = st.withColumn("_cj", grid.cell(F.col("_lam"), grid.cells(F.col("_ci"))))
     cap = cap.withColumns({"_cphi": c_phi, "_clam": c_lam})
-    bound = (
-        st.agg(F.max(F.abs("_phi")).alias("m")).unionByName(cap.agg(F.max(F.abs("_cphi")).alias("m")))
-        .agg(F.max("m").alias("m")).first()["m"]
-    )
-    if bound is None:
-        return st.select(F.lit(None).cast("long").alias("county"), F.col("longitude").cast("float"),
-                         F.col("latitude").cast("float"), F.lit(None).cast("double").alias("dist")).limit(0)
-    cell_lat, cell_lon = _cells(max_km, float(bound), radius)
-    st = st.withColumns({
-        "_ci": F.floor(F.col("_phi") / cell_lat), "_cj": F.floor(F.col("_lam") / cell_lon)})
-    offsets = F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj"))
-                        for di in (-1, 0, 1) for dj in (-1, 0, 1)])
-    cap = cap.select("*", F.explode(offsets).alias("_o")).select(
-        "county", "c_lat", "c_lon", "_cphi", "_clam",
-        (F.floor(F.col("_cphi") / cell_lat) + F.col("_o.di")).alias("_ci"),
-        (F.floor(F.col("_clam") / cell_lon) + F.col("_o.dj")).alias("_cj"),
-    )
+    cap = cap.withColumn("_ci", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: grid.row(F.col("_cphi")) + d)))
+    cap = cap.withColumn("_n", grid.cells(F.col("_ci")))
+    around = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(grid.cell(F.col("_clam"), F.col("_n")) + d, F.col("_n")))
+    cap = cap.withColumn("_cj", F.explode(F.array_distinct(around)))
     pairs = st.join(cap, on=["_ci", "_cj"], how="inner")
     d = haversine_km(F.col("_cphi"), F.col("_clam"), F.col("_phi"), F.col("_lam"), radius)
     return pairs.select(
@@ -130,31 +133,78 @@ def land_semi_join(points: DataFrame, land_cells: DataFrame, digits: int = 1) ->
         "lat_cell", "lon_cell")
 
 
+def _left(x: F.Column, y: F.Column) -> F.Column:
+    """Whether (x, y) lies left of the edge x1, y1 - x2, y2 (on it: no); horizontal edges have no left."""
+    d = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) - (F.col("y2") - F.col("y1")) * (x - F.col("x1"))
+    return F.when(F.col("y2") > F.col("y1"), d > 0).otherwise(d < 0)
+
+
+def _below(x: F.Column, y: F.Column) -> F.Column:
+    """Whether (x, y) lies below the edge, decided by the same side as ``_left``."""
+    rises = (F.col("y2") > F.col("y1")) == (F.col("x2") > F.col("x1"))
+    return F.when(F.col("y1") == F.col("y2"), y < F.col("y1")).when(rises, ~_left(x, y)).otherwise(_left(x, y))
+
+
+def polygon_cover(edges: DataFrame, cell: float, region: str = "county") -> tuple[DataFrame, DataFrame]:
+    """Grid cells that cover each polygon: ``(cells, cell_edges)``.
+
+    ``cells``: region, _cx, _cy, base (whether the cell's centre is inside) and _mixed (an edge passes through).  A cell
+    without an edge is inside or outside as a whole.  ``cell_edges``: the edges that pass through each mixed cell.
+    """
+    size = F.lit(float(cell))
+    e = edges.select(region, *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    e = e.withColumn("_cy", F.explode(F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))))
+
+    def x_at(y: F.Column) -> F.Column:
+        return (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+
+    flat = F.col("y1") == F.col("y2")
+    ends = [F.when(flat, F.col(x)).otherwise(x_at(F.greatest(low, F.least(high, y))))
+            for x, y in (("x1", F.col("_cy") * size), ("x2", (F.col("_cy") + 1) * size))]
+    slack = size * 1e-6  # a cell too many costs a comparison, a cell too few an answer
+    first, last = F.floor((F.least(*ends) - slack) / size), F.floor((F.greatest(*ends) + slack) / size)
+    e = e.withColumns({"_from": first.cast("long"), "_to": last.cast("long")})
+    cell_edges = e.withColumn("_cx", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
+    middle = (F.col("_cy") + 0.5) * size
+    crossing = e.filter((F.col("y1") > middle) != (F.col("y2") > middle)).withColumn("_cx", F.floor(x_at(middle) / size).cast("long"))
+    crossing = crossing.withColumn("_own", _left((F.col("_cx") + 0.5) * size, middle).cast("long"))
+    crossing = crossing.groupBy(region, "_cx", "_cy").agg(F.count("*").alias("_n"), F.sum("_own").alias("_own"))
+    span = e.groupBy(region, "_cy").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    cells = span.select(region, "_cy", F.explode(F.sequence("_from", "_to")).alias("_cx")).join(crossing, [region, "_cx", "_cy"], "left")
+    right = Window.partitionBy(region, "_cy").orderBy(F.col("_cx").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    crossed = F.coalesce(F.sum("_n").over(right), F.lit(0)) + F.coalesce("_own", F.lit(0))
+    cells = cells.withColumn("base", crossed % 2 == 1).select(region, "_cx", "_cy", "base")
+    mixed = cell_edges.select(region, "_cx", "_cy").distinct().withColumn("_mixed", F.lit(True))
+    cells = cells.join(mixed, [region, "_cx", "_cy"], "left").withColumn("_mixed", F.coalesce("_mixed", F.lit(False)))
+    return cells.filter(F.col("base") | F.col("_mixed")), cell_edges
+
+
 def point_in_polygon(points: DataFrame, edges: DataFrame, band: float = 0.1, x: str = "longitude",
                      y: str = "latitude", region: str = "county") -> DataFrame:
-    """Region containing each point by ray-crossing parity, null if none (C11).
+    """Region containing each point by crossing parity, null if none (C11).
 
-    ``edges``: region, x1, y1, x2, y2 (unordered edges of each polygon).  Each edge
-    is exploded into the latitude bands it spans and meets only the points of those
-    bands.  If several regions contain a point, the smallest id is kept and
+    ``edges``: region, x1, y1, x2, y2 (unordered edges of each polygon).  Points meet the grid cells (of size ``band``) that
+    cover the polygons: a cell without edges answers at once, in another one the way from the cell's centre to the point, up or
+    down and then across, is checked against the edges of that cell alone.  If several regions contain a point, the smallest id is kept and
     ``n_regions`` tells how many there were (the reference asserts at most one).
     """
-    pts = points.select(x, y).distinct().withColumn("_b", F.floor(F.col(y) / band))
-    e = edges.select(region, "x1", "y1", "x2", "y2").withColumns({
-        "_lo": F.floor(F.least("y1", "y2") / band), "_hi": F.floor(F.greatest("y1", "y2") / band)})
-    e = e.select("*", F.explode(F.sequence(F.col("_lo").cast("long"), F.col("_hi").cast("long"))).alias("_b"))
+    size = F.lit(float(band))
     px, py = F.col(x), F.col(y)
-    crosses = ((F.col("y1") > py) != (F.col("y2") > py)) & (
-        px < (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    )
-    hits = pts.join(e, on="_b", how="inner").filter(crosses)
-    inside = (
-        hits.groupBy(x, y, region).agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") % 2 == 1)
-        .groupBy(x, y).agg(F.min(region).alias(region), F.count("*").alias("n_regions"))
-    )
-    return points.select(x, y).distinct().join(inside, on=[x, y], how="left").select(
-        x, y, region, F.coalesce(F.col("n_regions"), F.lit(0)).alias("n_regions"))
+    pts = points.select(x, y).distinct()
+    keyed = pts.withColumns({"_cx": F.floor(px / size).cast("long"), "_cy": F.floor(py / size).cast("long")})
+    cells, cell_edges = polygon_cover(edges, band, region)
+    met = keyed.join(cells, ["_cx", "_cy"])
+    cx, cy = (F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size
+    point_left = px < (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    across = ((F.col("y1") > py) != (F.col("y2") > py)) & (_left(cx, py) != point_left)
+    upright = ((F.col("x1") > cx) != (F.col("x2") > cx)) & (_below(cx, cy) != _below(cx, py))
+    turns = F.sum(across.cast("long") + upright.cast("long"))
+    decided = met.filter(~F.col("_mixed")).select(x, y, region)
+    checked = met.filter("_mixed").join(cell_edges, [region, "_cx", "_cy"]).groupBy(x, y, region, "base").agg(turns.alias("_n"))
+    checked = checked.filter((F.col("_n") + F.col("base").cast("long")) % 2 == 1).select(x, y, region)
+    inside = decided.unionByName(checked).groupBy(x, y).agg(F.min(region).alias(region), F.count("*").alias("n_regions"))
+    return pts.join(inside, on=[x, y], how="left").select(x, y, region, F.coalesce(F.col("n_regions"), F.lit(0)).alias("n_regions"))
 
 
 def weather_to_county(weather: DataFrame, stations_w: DataFrame, cols: Sequence[str],
