@@ -103,3 +103,37 @@ def test_only_wanted_times_are_pivoted(spark):
     assert [(r.k, r.a_24h, r.a_48h) for r in table.collect()] == [(1, 5.0, None)]
     joined = L.lag_join(items, src, ["k"], "datetime", ["a"], [24, 48])
     assert sorted([(r.k, r.a_24h) for r in joined.collect()], key=str) == [(1, 5.0), (1, 5.0), (None, None)]
+
+
+def test_chunks_equal_chain(spark):
+    p = _panel(spark).withColumn("x2", F.when(F.col("target") % 3 > 0, F.col("target") * 2))
+    # times off the hour, lags of several divisors, rows without a time
+    p = p.withColumn("datetime", F.expr("datetime + make_interval(0, 0, 0, 0, 0, cast(county * 7 as int))")).withColumn(
+        "datetime", F.when(F.col("row_id") % 50 != 0, F.col("datetime")))
+    items = p.drop("target", "x2").unionByName(p.drop("target", "x2").filter("row_id < 9").withColumn("county", F.lit(9).cast("long")))
+    src = p.select(*SEG, "datetime", "target", "x2").filter("datetime is not null")
+    for lags in ([24, 48, 72], [0, 5, 7], [48], [30, 1000]):
+        for hours in (None, 24 * 3):
+            a = L.lag_join_chunks(items, src, SEG, "datetime", ["target", "x2"], lags, chunk_hours=hours)
+            b = L.lag_join_chain(items, src, SEG, "datetime", ["target", "x2"], lags)
+            order = ["row_id", "county"]
+            cols = [*items.columns, *[f"{c}_{h}h" for h in lags for c in ("target", "x2")]]
+            assert a.select(*cols).orderBy(*order).collect() == b.select(*cols).orderBy(*order).collect()
+
+
+def test_chunks_refuse_duplicated_source_keys(spark):
+    import pytest
+
+    p = _panel(spark)
+    with pytest.raises(Exception, match="DUPLICATED"):
+        L.lag_join(p.drop("target"), p.union(p.limit(1)).select(*SEG, "datetime", "target"), SEG, "datetime", ["target"], [24]).collect()
+
+
+def test_panel_is_exchanged_once_for_all_lags(spark):
+    p = _panel(spark).drop("row_id").repartition(3).cache()
+    p.count()
+    items = spark.createDataFrame([], p.schema).drop("target")
+    plan = L.lag_join(items, p, SEG, "datetime", ["target"], [24 * d for d in range(2, 15)])._jdf.queryExecution().executedPlan().toString()
+    source = plan[plan.index("ObjectHashAggregate"):]
+    assert source.count("Exchange hashpartitioning") == 1
+    assert "explode(CASE WHEN" in source  # two copies of a row at most, not one for each lag

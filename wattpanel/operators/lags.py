@@ -10,12 +10,14 @@ no key, however hot, lands in a single task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LagNamer = Callable[[str, int], str]
+DEFAULT_STRATEGY = "chunk"
 
 
 def _q(c: str) -> str:
@@ -76,15 +78,17 @@ def lag_join(left: DataFrame, src: DataFrame, keys: Sequence[str], ts: str, cols
              wanted: DataFrame | None = None) -> DataFrame:
     """Left join of ``src`` shifted by every lag in ``lags`` onto ``left``.
 
-    ``strategy``: ``"pivot"`` (explode-shift-pivot, shuffles ``len(lags)`` copies
-    of the source) or ``"window"`` (time-chunked range-frame window, shuffles the
-    source once plus a halo of ``max(lags)``); default from the session conf
-    ``wattpanel.lag.strategy`` (``pivot``).  ``wanted`` is a frame with at least the
+    ``strategy``: ``"chunk"`` (one map of times per key and chunk of time, shuffles the source
+    once plus a halo of ``max(lags)`` and reads every lag from the map), ``"pivot"`` (explode-shift-pivot, shuffles
+    ``len(lags)`` copies of the source) or ``"window"`` (time-chunked range-frame window); default from the session conf
+    ``wattpanel.lag.strategy`` (``chunk``).  ``wanted`` is a frame with at least the
     (keys, ts) of ``left``; in a chain of lag joins the first left side spares the later
     ones from running the joins before them twice.
     """
     wanted = left if wanted is None else wanted
-    strategy = strategy or left.sparkSession.conf.get("wattpanel.lag.strategy", "pivot")
+    strategy = strategy or left.sparkSession.conf.get("wattpanel.lag.strategy", DEFAULT_STRATEGY)
+    if strategy == "chunk":
+        return lag_join_chunks(left, src, keys, ts, cols, lags, name)
     if strategy == "window":
         table = lag_table_window(wanted, src, keys, ts, cols, lags, name)
     else:
@@ -92,6 +96,32 @@ def lag_join(left: DataFrame, src: DataFrame, keys: Sequence[str], ts: str, cols
     return left.join(table, on=[*keys, ts], how="left")
 
 
+def lag_join_chunks(left: DataFrame, src: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
+                    lags: Sequence[int], name: LagNamer = hours_suffix, chunk_hours: int | None = None) -> DataFrame:
+    """:func:`lag_join` through one map per (keys, chunk of time).
+
+    Time is cut into chunks of at least ``max(lags)`` hours; each source row goes to its chunk and, if it lies within
+    ``max(lags)`` of the next one, there too: two copies at most, however many lags.  A lag leads only to times of the same
+    remainder by the lags' greatest common divisor, so the rows of a chunk and remainder become a map from time to values: a
+    few dozen entries, over which a hot key is spread.  The left side meets the map in one join, and each lag is a lookup.
+    A duplicated source key is an error of the map.
+    """
+    lags = [int(h) for h in lags]
+    halo = max(max(lags), 0) * 3600
+    chunk = max(chunk_hours or 24, max(lags), 1) * 3600
+    step = max(math.gcd(*lags), 1) * 3600
+    at = F.unix_seconds(F.col(ts).cast("timestamp"))
+    s = src.select(*keys, *[F.col(f"`{c}`") for c in cols], at.alias("_t")).withColumns({"_c": F.floor(F.col("_t") / chunk), "_r": F.pmod("_t", F.lit(step))})
+    into_next = F.col("_t") >= (F.col("_c") + 1) * chunk - halo
+    s = s.withColumn("_c", F.explode(F.when(into_next, F.array(F.col("_c"), F.col("_c") + 1)).otherwise(F.array("_c"))))
+    values = F.struct(*[F.col(f"`{c}`") for c in cols])
+    maps = s.filter(F.col("_t").isNotNull()).groupBy(*keys, "_c", "_r").agg(F.map_from_entries(F.collect_list(F.struct("_t", values))).alias("_m"))
+    joined = left.withColumns({"_t": at, "_c": F.floor(at / chunk), "_r": F.pmod(at, F.lit(step))}).join(maps, on=[*keys, "_c", "_r"], how="left")
+    # All lags in one array first: the optimizer does not copy that into the expressions that use the lags later.
+    found = joined.selectExpr(*[_q(c) for c in left.columns], "array(" + ", ".join(f"_m[_t - {h * 3600}L]" for h in lags) + ") AS _v")
+    return found.selectExpr(*[_q(c) for c in left.columns], *[f"_v[{i}].{_q(c)} AS {_q(name(c, h))}" for i, h in enumerate(lags) for c in cols])
+
+
 def lag_table_window(left: DataFrame, src: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
                      lags: Sequence[int], name: LagNamer, chunk_hours: int | None = None) -> DataFrame:
     """Same result as :func:`lag_table`, restricted to the (keys, ts) of ``left``.
