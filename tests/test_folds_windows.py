@@ -96,3 +96,38 @@ def test_sliding_sum_window_edges(spark):
     got = {r.datetime: r.s for r in W.sliding_sum(df, ["county"], "datetime", "rain", "2 days", "1 day", "s").collect()}
     assert got[B + dt.timedelta(days=1)] == 24.0 and got[B + dt.timedelta(days=2)] == 48.0
     assert got[B + dt.timedelta(days=4)] == 24.0
+
+
+def test_several_rolling_sums_share_one_window(spark):
+    import random
+
+    from wattpanel.operators.windows import Rolling, rolling_sums_time
+
+    rng = random.Random(6)
+    rows = sorted({(k, rng.randrange(0, 40 * 24)) for k in (1, 2) for _ in range(500)})
+    vals = {r: (None if rng.random() < 0.1 else float(rng.randrange(9))) for r in rows}
+    df = spark.createDataFrame([(k, h, vals[k, h]) for k, h in rows], "k long, h long, v double").withColumn("t", F.timestamp_seconds(F.col("h") * 3600))
+    sums = [Rolling("v", 86400, "a"), Rolling("v", 3 * 86400, "b", fill_null=None), Rolling("v", 86400, "c", shift=3600)]
+    out = rolling_sums_time(df, ["k"], "t", sums, chunk_seconds=5 * 86400)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+    def total(k, h, hours):
+        xs = [vals[k, x] for x in range(h - hours + 1, h + 1) if vals.get((k, x)) is not None]
+        return sum(xs) if xs else None
+
+    for r in out.collect():
+        assert (r.a, r.b) == (total(r.k, r.h, 24) or 0.0, total(r.k, r.h, 72))
+        assert r.c == ((total(r.k, r.h - 1, 24) or 0.0) if (r.k, r.h - 1) in vals else 0.0)
+
+
+def test_broadcast_is_bounded_in_rows_and_bytes(spark):
+    from wattpanel.session import bounded_broadcast
+
+    def hinted(df, **kw):
+        return "ResolvedHint" in bounded_broadcast(df, **kw)._jdf.queryExecution().analyzed().toString()
+
+    narrow = spark.range(1000)
+    wide = narrow.select("id", F.repeat(F.lit("x"), 10_000).alias("s"), F.sequence(F.lit(0), F.lit(99)).alias("a"))
+    assert hinted(narrow) and not hinted(narrow, max_rows=999)
+    assert hinted(wide, max_bytes=20 << 20) and not hinted(wide, max_bytes=5 << 20)
+    assert not hinted(wide.select("id", "a"), max_bytes=400_000) and hinted(spark.range(0).select("id"), max_bytes=0)

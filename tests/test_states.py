@@ -96,7 +96,7 @@ def _joined(spark):
 REGS = {**REG, "installed_capacity": "installed_capacity"}
 FEATURES = ["hour", "ssr", J.FIRST]
 SMALL = {"maxIter": 3, "maxDepth": 3, "minInstancesPerNode": 5}
-COARSE = {"min_step_fraction": 0.1}
+COARSE = {"min_step_fraction": 0.26}  # one round
 
 
 def _fit(spark, df, combine, parts, **kw):
@@ -161,10 +161,10 @@ def test_training_judges_both_weather_sources_on_the_same_rows(spark):
 
 def test_restarts_and_drop_one_share_the_rounds(spark):
     df = _solar_rows(spark, 40)
-    state, _ = SO.fit_pattern_search(df, "g", "y", regressors=REG, restarts=3, seed=1, min_step_fraction=0.1)
+    state, _ = SO.fit_pattern_search(df, "g", "y", regressors=REG, restarts=3, seed=1, min_step_fraction=0.26)
     assert sorted(state) == [f"{run}_{g}" for run in range(3) for g in range(2)]
     assert len({tuple(s["theta"].values()) for s in state.values()}) > 2
-    without, _ = SO.fit_pattern_search(df, "g", "y", regressors=REG, drop_one=True, min_step_fraction=0.1)
+    without, _ = SO.fit_pattern_search(df, "g", "y", regressors=REG, drop_one=True, min_step_fraction=0.2)
     assert sorted(without) == sorted(f"{n}_{g}" for n in SO.DEFAULT_WEIGHTS for g in range(2))
     for key, s in without.items():
         name = key.rsplit("_", 1)[0]

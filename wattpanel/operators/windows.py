@@ -8,6 +8,7 @@ halo of preceding rows, so one task holds at most one chunk of one group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,29 +33,46 @@ def _epoch_seconds(ts: str) -> F.Column:
     return F.unix_seconds(F.col(ts).cast("timestamp"))
 
 
-def rolling_sum_time(df: DataFrame, keys: Sequence[str], ts: str, col: str, seconds: int, out: str,
-                     chunk_seconds: int = 30 * 86400, fill_null: float | None = 0.0) -> DataFrame:
-    """Sum of ``col`` over ``(t - seconds, t]`` per key, at every row.
+class Rolling(NamedTuple):
+    """A sum of ``col`` over ``(t - seconds, t]``; with ``shift`` the sum at the row exactly ``shift`` seconds earlier (null if there is none)."""
+
+    col: str
+    seconds: int
+    out: str
+    shift: int = 0
+    fill_null: float | None = 0.0
+
+
+def rolling_sums_time(df: DataFrame, keys: Sequence[str], ts: str, sums: Sequence[Rolling], chunk_seconds: int = 30 * 86400) -> DataFrame:
+    """Several time-rolling sums per key, at every row, as frames of one window.
 
     Time is cut into chunks of ``chunk_seconds``; each chunk also receives the
-    rows of the ``seconds`` before it (its halo), so the window runs per
+    rows of the longest frame before it (its halo), so the window runs per
     (key, chunk) and a hot key is spread over many tasks.
     """
-    if chunk_seconds < seconds:
-        chunk_seconds = seconds
-    t = _epoch_seconds(ts)
-    base = df.withColumn("_t", t).withColumn("_chunk", F.floor(F.col("_t") / chunk_seconds))
-    # A row also belongs to the next chunk when it lies within ``seconds`` of that chunk's start.
+    reach = max(int(s.seconds) + int(s.shift) for s in sums)
+    chunk = max(chunk_seconds, reach)
+    base = df.withColumn("_t", _epoch_seconds(ts)).withColumn("_chunk", F.floor(F.col("_t") / chunk))
+    # A row also belongs to the next chunk when it lies within reach of that chunk's start.
     nxt = F.col("_chunk") + 1
-    in_halo = F.col("_t") > nxt * chunk_seconds - seconds
+    in_halo = F.col("_t") > nxt * chunk - reach
     copies = base.select("*", F.explode(F.when(in_halo, F.array(F.lit(False), F.lit(True)))
                                         .otherwise(F.array(F.lit(False)))).alias("_halo"))
     copies = copies.withColumn("_chunk", F.when(F.col("_halo"), nxt).otherwise(F.col("_chunk")))
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_t").rangeBetween(-(int(seconds) - 1), 0)
-    res = copies.withColumn(out, F.sum(col).over(w)).filter(~F.col("_halo"))
-    if fill_null is not None:
-        res = res.withColumn(out, F.coalesce(F.col(out), F.lit(fill_null)))
-    return res.drop("_t", "_chunk", "_halo")
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_t")
+    values = {}
+    for s in sums:
+        value = F.sum(s.col).over(w.rangeBetween(-(int(s.seconds) + int(s.shift) - 1), -int(s.shift)))
+        if s.shift:
+            value = F.when(F.count("_t").over(w.rangeBetween(-int(s.shift), -int(s.shift))) > 0, value)
+        values[s.out] = value if s.fill_null is None else F.coalesce(value, F.lit(s.fill_null))
+    return copies.withColumns(values).filter(~F.col("_halo")).drop("_t", "_chunk", "_halo")
+
+
+def rolling_sum_time(df: DataFrame, keys: Sequence[str], ts: str, col: str, seconds: int, out: str,
+                     chunk_seconds: int = 30 * 86400, fill_null: float | None = 0.0) -> DataFrame:
+    """Sum of ``col`` over ``(t - seconds, t]`` per key, at every row."""
+    return rolling_sums_time(df, keys, ts, [Rolling(col, seconds, out, fill_null=fill_null)], chunk_seconds)
 
 
 def ffill_limit(df: DataFrame, keys: Sequence[str], ts: str, col: str, passes: int = 1,

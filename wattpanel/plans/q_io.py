@@ -36,12 +36,18 @@ def parquet_sink(spark, sf):
     return spark.read.parquet(path).withColumn("o_orderstatus", F.col("o_orderstatus").cast("string"))
 
 
+JSON_ENTRIES = 10_000
+
+
 @query("json_id_map", "SELECT s_suppkey AS county, s_name AS county_name FROM supplier")
 def json_id_map(spark, sf):
-    """A3: the supplier dimension as one JSON object of id to name, read back as a table."""
+    """A3: the supplier dimension as JSON objects of id to name, a file for about every ``JSON_ENTRIES`` names, read back as a table."""
     path = scratch_dir("json-")
     entries = F.map_from_entries(F.collect_list(F.struct(F.col("s_suppkey").cast("string"), F.col("s_name"))))
-    io.read_table(spark, sf, "supplier").agg(F.to_json(entries).alias("value")).write.text(path)
+    names = io.read_table(spark, sf, "supplier")
+    files = names.count() // JSON_ENTRIES + 1
+    parts = names.groupBy(F.pmod(F.xxhash64("s_suppkey"), F.lit(files)).alias("part")).agg(F.to_json(entries).alias("value"))
+    parts.write.partitionBy("part").text(path)
     return io.read_id_map(spark, path)
 
 

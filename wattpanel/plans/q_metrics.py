@@ -9,6 +9,7 @@ from ..operators import folds as K
 from ..operators import lags as L
 from ..operators import metrics as M
 from ..operators import windows as W
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 from ..sources.io import read_table
 from . import features as FT
@@ -64,21 +65,31 @@ f AS (SELECT 'f-2024-1-15' AS fold, avg(abs(p48 - target)) AS mae FROM ev WHERE
       UNION ALL SELECT 'f-2024-1-22', avg(abs(p48 - target)) FROM ev WHERE datetime > TIMESTAMP '2024-01-22')
 SELECT * FROM f UNION ALL SELECT 'mean', avg(mae) FROM f""", ("panel",))
 def fold_mae(spark, sf):
-    e = K.temporal_folds(eval_frame(spark, sf), _FOLD_DATES).filter(F.col("role") == "val")
-    per = e.groupBy("fold").agg(F.avg(M.abs_err("p48", "target")).alias("mae"))
+    folds = K.date_folds(_FOLD_DATES)
+    e = eval_frame(spark, sf).withColumn("_folds", K.fold_mask(folds))
+    per = K.per_fold(e, folds, {"mae": M.abs_err("p48", "target")}).select("fold", F.col("mean").alias("mae"))
     return per.unionByName(per.agg(F.lit("mean").alias("fold"), F.avg("mae").alias("mae")))
 
 
-@query("baseline_constants", f"""WITH {EV},
-tr AS (SELECT * FROM ev WHERE datetime <= TIMESTAMP '2024-01-20'), va AS (SELECT * FROM ev WHERE datetime > TIMESTAMP '2024-01-20'),
+# Baselines learn from the first two thirds of the data's span.
+_TRAIN_SHARE = 2 / 3
+_CUT_SQL = f"""cut AS (SELECT date_trunc('hour', make_timestamp(CAST((lo + floor((hi - lo) * {_TRAIN_SHARE!r})) * 1000000 AS BIGINT))) AS cut_at
+  FROM (SELECT epoch(min(datetime)) AS lo, epoch(max(datetime)) AS hi FROM ev))"""
+
+
+def _baseline_split(e):
+    cut = F.lit(K.fraction_cuts(e, [_TRAIN_SHARE])[0]).cast("timestamp")
+    return e.filter(F.col("datetime") <= cut), e.filter(F.col("datetime") > cut)
+
+
+@query("baseline_constants", f"""WITH {EV}, {_CUT_SQL},
+tr AS (SELECT ev.* FROM ev, cut WHERE datetime <= cut_at), va AS (SELECT ev.* FROM ev, cut WHERE datetime > cut_at),
 c AS (SELECT quantile_cont(target, 0.5) AS med, avg(target) AS mean FROM tr)
 SELECT avg(abs(0.0 - target)) AS mae_zero, avg(abs(c.med - target)) AS mae_median, avg(abs(c.mean - target)) AS mae_mean,
   any_value(c.med) AS median, any_value(c.mean) AS mean
 FROM va, c""", ("panel",))
 def baseline_constants(spark, sf):
-    e = eval_frame(spark, sf)
-    train, val = e.filter(F.col("datetime") <= F.lit("2024-01-20").cast("timestamp")), \
-        e.filter(F.col("datetime") > F.lit("2024-01-20").cast("timestamp"))
+    train, val = _baseline_split(cut_lineage(eval_frame(spark, sf)))
     (med,) = M.exact_quantiles(train, "target", [0.5])
     mean = train.agg(F.avg("target")).first()[0]
     t = F.col("target")
@@ -90,17 +101,15 @@ def baseline_constants(spark, sf):
 _SEG_SQL = "CAST(county AS VARCHAR) || '_' || CAST(is_business AS VARCHAR) || '_' || CAST(product_type AS VARCHAR) || '_' || CAST(is_consumption AS VARCHAR)"
 
 
-@query("baseline_segment_median", f"""WITH {EV},
-tr AS (SELECT {_SEG_SQL} AS segment, target FROM ev WHERE datetime <= TIMESTAMP '2024-01-20'),
-va AS (SELECT {_SEG_SQL} AS segment, target FROM ev WHERE datetime > TIMESTAMP '2024-01-20'),
+@query("baseline_segment_median", f"""WITH {EV}, {_CUT_SQL},
+tr AS (SELECT {_SEG_SQL} AS segment, target FROM ev, cut WHERE datetime <= cut_at),
+va AS (SELECT {_SEG_SQL} AS segment, target FROM ev, cut WHERE datetime > cut_at),
 m AS (SELECT segment, quantile_cont(target, 0.5) AS pred FROM tr GROUP BY segment)
 SELECT segment, any_value(pred) AS median, count(*) AS n, avg(abs(pred - target)) AS mae FROM va JOIN m USING (segment)
 GROUP BY segment""", ("panel",))
 def baseline_segment_median(spark, sf):
-    e = eval_frame(spark, sf).withColumn("segment", S.segment_key(SEG))
-    cut = F.lit("2024-01-20").cast("timestamp")
-    j = M.segment_median_baseline(e.filter(F.col("datetime") <= cut), e.filter(F.col("datetime") > cut),
-                                  "segment", "target")
+    train, val = _baseline_split(cut_lineage(eval_frame(spark, sf).withColumn("segment", S.segment_key(SEG))))
+    j = M.segment_median_baseline(train, val, "segment", "target")
     return j.groupBy("segment").agg(F.first("pred").alias("median"), F.count("*").alias("n"),
                                     F.avg(M.abs_err("pred", "target")).alias("mae"))
 

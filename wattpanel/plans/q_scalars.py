@@ -9,6 +9,7 @@ from ..functions.holidays import EASTER_OFFSETS, FIXED_HOLIDAYS, add_holiday_fla
 from ..operators import clean as C
 from ..operators import lags as L
 from ..operators.windows import ffill_limit
+from ..session import bounded_broadcast
 from ..sources import fixtures as fx
 from ..sources.io import read_table
 from . import features as FT
@@ -323,10 +324,10 @@ def train_client_merge(spark, sf):
     n = read_table(spark, sf, "nation")
     names = n.select(F.col("n_nationkey").cast("long").alias("county"),
                      S.format_name(F.regexp_replace("n_name", " ", "-")).alias("county_name"))
-    t = fx.panel(spark, sf).join(F.broadcast(names), "county", "left").withColumns({
+    t = fx.panel(spark, sf).join(bounded_broadcast(names), "county", "left").withColumns({
         "product_name": S.product_name("product_type"), "date": F.to_date("datetime"),
         "data_block_id": F.dayofmonth("datetime")})
-    c = fx.client(spark, sf).join(F.broadcast(names), "county", "left").withColumns({
+    c = fx.client(spark, sf).join(bounded_broadcast(names), "county", "left").withColumns({
         "product_name": S.product_name("product_type"), "data_block_id": F.dayofmonth("date") + 2})
     keys = ["county", "product_type", "is_business", "county_name", "product_name", "date"]
     return merge_with_suffix(t, c, keys).drop("date")

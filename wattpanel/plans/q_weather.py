@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..operators import clean as C
 from ..operators import lags as L
 from ..operators.geo import weather_to_county
-from ..operators.windows import rolling_sum_time, sliding_sum
+from ..operators.windows import Rolling, rolling_sums_time, sliding_sum
 from ..sources import fixtures as fx
 from . import features as FT
 from . import sqlgen as G
@@ -189,15 +189,9 @@ SELECT r.county, r.datetime, coalesce(p.r1, 0.0) AS rain_1d, coalesce(r.s1, 0.0)
 FROM r LEFT JOIN r p ON p.county = r.county AND p.datetime + INTERVAL 1 HOUR = r.datetime""", WX_FIX)
 def rolling_sum_time_q(spark, sf):
     cw, _ = county_hist(spark, sf)
-    cw = cw.select("county", "datetime", "rain", "snowfall")
-    r = rolling_sum_time(cw, ["county"], "datetime", "rain", 86400, "rain_1d", fill_null=None)
-    r = rolling_sum_time(r, ["county"], "datetime", "snowfall", 86400, "snowfall_1d")
-    r = rolling_sum_time(r, ["county"], "datetime", "snowfall", 3 * 86400, "snowfall_3d")
     # rain_1d is read one hour later (the reference moves the timestamps by +1 h first).
-    shifted = r.select("county", L.shift_hours("datetime", 1).alias("datetime"), F.col("rain_1d").alias("_r"))
-    out = r.drop("rain_1d").join(shifted, ["county", "datetime"], "left")
-    return out.select("county", "datetime", F.coalesce("_r", F.lit(0.0)).alias("rain_1d"), "snowfall_1d",
-                      "snowfall_3d")
+    sums = [Rolling("rain", 86400, "rain_1d", shift=3600), Rolling("snowfall", 86400, "snowfall_1d"), Rolling("snowfall", 3 * 86400, "snowfall_3d")]
+    return rolling_sums_time(cw.select("county", "datetime", "rain", "snowfall"), ["county"], "datetime", sums).drop("rain", "snowfall")
 
 
 @query("gap_shift_fill", """

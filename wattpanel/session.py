@@ -7,9 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows above which a dimension is no longer broadcast (joined by shuffle instead).
+# Rows and bytes above which a dimension is no longer broadcast (joined by shuffle instead).
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 256 << 20
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "wattpanel") -> SparkSession:
@@ -75,15 +77,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows of together at most ``max_bytes``.
 
-    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the frame is
+    The check reads at most ``max_rows + 1`` rows and adds up the lengths of strings and the sizes of lists and maps to the
+    width of the other columns.  Beyond the bound the frame is
     returned unhinted, so the join falls back to a shuffle join (and AQE may still
     pick a broadcast at run time from real sizes).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    width, parts = 8, []
+    for f in df.schema.fields:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.octet_length(c))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            parts.append(F.greatest(F.size(c), F.lit(0)) * _width(f.dataType))
+        else:
+            width += _width(f.dataType)
+    sizes = [F.coalesce(F.sum(p.cast("long")), F.lit(0)) for p in parts]
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), *[s.alias(f"_s{i}") for i, s in enumerate(sizes)]).first()
+    whole = row["n"] * width + sum(row[1:])
+    return F.broadcast(df) if row["n"] <= max_rows and whole <= max_bytes else df
+
+
+def _width(kind: T.DataType) -> int:
+    """Bytes of a value; strings inside nested values count as 64."""
+    if isinstance(kind, T.StructType):
+        return 8 + sum(_width(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _width(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _width(kind.keyType) + _width(kind.valueType)
+    return 64 if isinstance(kind, (T.StringType, T.BinaryType)) else 8
 
 
 def scratch_dir(prefix: str = "wattpanel-") -> str:
