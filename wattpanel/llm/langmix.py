@@ -28,7 +28,7 @@ WIDTH = 4
 BUCKETS = 1 << 16
 TRAIN_DOCS = 4_000
 PENALTY = 4.0
-ROUNDS = 12
+SETTLED = 1e-4  # EM ends when no share of a row moves further in a round
 SHRINK = 2_000.0  # pooled n-grams added to each language's counts
 SLICE_BYTES = 1 << 20
 
@@ -114,13 +114,16 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str],
     return languages, np.log(model).astype(np.float32), np.log(prior / prior.sum())
 
 
-def _em(p: np.ndarray, c: np.ndarray, row: np.ndarray, starts: np.ndarray, shares: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shares, log-likelihood relative to p's scale) of each row after ``rounds`` of EM."""
+def _em(p: np.ndarray, c: np.ndarray, row: np.ndarray, starts: np.ndarray, shares: np.ndarray, settled: float = SETTLED) -> tuple[np.ndarray, np.ndarray]:
+    """(shares, log-likelihood relative to p's scale) of each row once EM has settled (its likelihood never falls, so it does)."""
     totals = np.add.reduceat(c, starts)
-    for _ in range(rounds):
+    moved = settled
+    while moved >= settled:
         joint = p * shares[row]
         mix = joint.sum(1)
-        shares = np.add.reduceat(joint * (c / mix)[:, None], starts, axis=0) / totals[:, None]
+        after = np.add.reduceat(joint * (c / mix)[:, None], starts, axis=0) / totals[:, None]
+        moved = np.abs(after - shares).max()
+        shares = after
     mix = (p * shares[row]).sum(1)
     return shares, np.add.reduceat(c * np.log(np.maximum(mix, 1e-300)), starts)
 
@@ -161,7 +164,7 @@ def infer(texts: pa.Array, model: np.ndarray, prior: np.ndarray) -> tuple[np.nda
     top = logs.max(1)
     p = np.exp(logs - top[:, None])
     shift = np.add.reduceat(c * top, sub_starts)
-    full, _ = _em(p, c, sub, sub_starts, np.full((len(open_rows), k), 1.0 / k), ROUNDS)
+    full, _ = _em(p, c, sub, sub_starts, np.full((len(open_rows), k), 1.0 / k))
     order = np.argsort(-full, axis=1, kind="stable")
     value = alone[open_rows, first[open_rows]] - price[open_rows]
     chosen = shares[rows[open_rows]]
@@ -176,7 +179,7 @@ def infer(texts: pa.Array, model: np.ndarray, prior: np.ndarray) -> tuple[np.nda
         again = np.searchsorted(able, sub[mine])
         again_starts = np.flatnonzero(np.concatenate([[True], again[1:] != again[:-1]]))
         start = full[able] * mask
-        got, likelihood = _em(p[mine], c[mine], again, again_starts, start / start.sum(1, keepdims=True), ROUNDS)
+        got, likelihood = _em(p[mine], c[mine], again, again_starts, start / start.sum(1, keepdims=True))
         new = likelihood + shift[able] - size * price[open_rows[able]]
         better = new > value[able]
         value[able[better]] = new[better]

@@ -3,7 +3,7 @@
 All rolling word k-grams of the documents are hashed and joined to the positions at which the
 templates have the same k-gram.  A hit votes for the diagonal (document position minus template position); votes are
 counted per (document, template, diagonal), neighbouring diagonals (a word added or left
-out shifts the rest by one) are merged, and a merged span is verified: it must cover ``COVER`` of the template's words (all of a template under ``SHORT`` words) inside a span not much
+out shifts the rest by one) are merged, and a merged span is verified: it must cover ``COVER`` of the template's words (more of a template under ``LOOSE`` words, all of one up to ``WHOLE``) inside a span not much
 longer than the template, and no overlapping span may cover its own template better.  Base phrases are found word by word beside this and always stay.
 
 Words are runs of letters, digits and non-ASCII characters of the lower-cased text.  Null text is empty; identical rows (doc_id and text) get identical results,
@@ -19,7 +19,7 @@ from .common import reliable, text_key, text_or_empty
 
 K = 3
 COVER = 0.8
-SHORT = 16  # templates of fewer words must be covered whole: one word tells versions apart
+WHOLE, LOOSE = 12, 40  # up to 12 words a template must be covered whole (one word tells versions apart), from 40 on to COVER, in between in proportion
 NEIGHBOURS = 3
 SLACK = 1.5
 BLOCK_GRAMS = 500_000
@@ -54,7 +54,14 @@ TEMPLATES = (
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), NOT_WORD), "")
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")  # no other letters
+    return F.array_remove(F.split(lowered, NOT_WORD), "")
+
+
+def _needed(words: Column) -> Column:
+    """Share of a template's words that a span must cover: falls from 1 to ``COVER`` without a step."""
+    loose = F.least(F.greatest((words - WHOLE) / (LOOSE - WHOLE), F.lit(0.0)), F.lit(1.0))
+    return 1 - (1 - COVER) * loose - 1e-9
 
 
 def _grams(frame: DataFrame, k: int) -> DataFrame:
@@ -94,7 +101,7 @@ def spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, k
         merged = merged.groupBy(*row, "run").agg(F.array_distinct(F.flatten(F.collect_list("q"))).alias("q"), F.min("first").alias("first"), F.max("last").alias("last"))
         covered = F.size(F.array_distinct(F.flatten(F.transform("q", lambda p: F.sequence(p, p + (k - 1))))))
         merged = merged.withColumn("cover", covered / F.col("words"))
-        fits = (F.col("cover") >= F.when(F.col("words") < SHORT, 1.0).otherwise(COVER)) & (F.col("last") + k - F.col("first") <= F.col("words") * SLACK + NEIGHBOURS)
+        fits = (F.col("cover") >= _needed(F.col("words"))) & (F.col("last") + k - F.col("first") <= F.col("words") * SLACK + NEIGHBOURS)
         found = merged.select("doc_id", "_k1", "_k2", "label", "cover", F.col("first").cast("long").alias("first_word"), (F.col("last") + (k - 1)).cast("long").alias("last_word"), fits.alias("verified"))
         out = found if out is None else out.unionByName(found)
     reach = int(max(2 * len(text.split()) for _, text in templates) * SLACK) + NEIGHBOURS  # no verified span is longer
