@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import folds as K
 from ..operators.lags import lag_fallback
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 from ..sources.io import read_table
 from . import features as FT
@@ -167,8 +168,12 @@ RESTARTS = 24
 
 @query("param_stability")
 def param_stability(spark, sf):
-    """Random restarts: ``RESTARTS`` start points per product type, searched in the same jobs over the same rows."""
-    state, _ = SO.fit_pattern_search(solar_frame(spark, sf), "product_type", "target", restarts=RESTARTS, seed=7)
+    """Random restarts and the drop-one study (J15): ``RESTARTS`` start points per product type (run_group ``run_type``), and one fit
+    without each parameter (``without parameter_type``), each kind searched in the same jobs over the same rows."""
+    frame = cut_lineage(solar_frame(spark, sf))
+    state, _ = SO.fit_pattern_search(frame, "product_type", "target", restarts=RESTARTS, seed=7)
+    dropped, _ = SO.fit_pattern_search(frame, "product_type", "target", drop_one=True)
+    state = {**state, **{f"without {k}": s for k, s in dropped.items()}}
     rows = [(str(k), float(s["mae"]), int(s["n"]), s["rounds"], s["converged"], *[float(s["theta"][n]) for n in sorted(SO.DEFAULT_WEIGHTS)])
             for k, s in state.items()]
     cols = "run_group string, mae double, n long, rounds long, converged boolean, " + ", ".join(f"{n} double" for n in sorted(SO.DEFAULT_WEIGHTS))
