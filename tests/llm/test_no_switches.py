@@ -32,3 +32,18 @@ def test_em_settles_at_the_likelihoods_top():
     grid = [np.log(p @ np.array([1 - x, x])).sum() for x in np.linspace(0, 1, 2001)]
     assert top[0] >= max(grid) - 0.05
     assert abs(shares.sum() - 1) < 1e-9 and true
+
+
+def test_thresholds_move_smoothly_with_a_groups_size(spark):
+    from wattpanel.llm import quality_rules
+
+    def limits(n):
+        rows = [("en", "a", "length", 5000 + 64 * (i % 7), n // 7 + (i < n % 7)) for i in range(7)] + [("en", "b", "length", 8000 + 64 * (i % 9), 100) for i in range(9)]
+        frame = spark.createDataFrame([r for r in rows if r[4]], "lang string, source string, measure string, bucket long, n long")
+        r = quality_rules.thresholds(frame).filter("source = 'a'").first()
+        return r["length_low"], r["length_high"]
+
+    width = 64
+    assert all(abs(x - y) < width for x, y in zip(limits(199), limits(200)))
+    assert limits(2) != limits(2000)
+    assert limits(2)[1] > 8000 and limits(2000)[1] < 8000  # a small group leans on its language, a large one on itself

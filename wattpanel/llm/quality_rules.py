@@ -4,7 +4,8 @@ Each document has four measures: symbols per word, mean word length, share of re
 Their distribution in every (lang, source) group is kept as a sketch: counts in buckets of
 at most 1/64 relative width (exact below 128 thousandths).  Sketches merge by adding counts, so
 they are pre-aggregated in every task and rolled up from groups to languages and to all
-documents.  A group with at least ``MIN_DOCS`` documents uses its own quartiles, a smaller one those of its language, or of all.
+documents.  A group's sketch is blended with its language's, and that with the sketch of all documents: the parent's counts are added, scaled to
+``PARENT_DOCS`` documents.  A small group so leans on its parent and a large one on itself, without a size at which the rule changes.
 A document fails a measure beyond median + ``SPREAD`` x interquartile range + a margin (word length on either side).
 
 All arithmetic is on integers (thousandths), so results do not depend on order or engine.  Null text has no words; a null lang or source is a
@@ -21,7 +22,8 @@ from .common import WORD_GAP, reliable, text_or_empty
 MEASURES = ("symbols", "length", "lines", "repeats")
 MARGINS = {"symbols": 150, "length": 1500, "lines": 350, "repeats": 100}  # thousandths
 SPREAD = 3
-MIN_DOCS = 200
+PARENT_DOCS = 50  # what a parent's sketch weighs beside a group's own documents
+_PPM = 1_000_000
 BROADCAST_GROUPS = 100_000
 
 
@@ -87,14 +89,32 @@ def _quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
     return bins.select(*by, "measure", "docs", *[F.expr(at.format(k=k)).alias(f"q{k}") for k in (1, 2, 3)])
 
 
-def thresholds(sketches: DataFrame, spread: int = SPREAD, min_docs: int = MIN_DOCS) -> DataFrame:
+def _marked(name: str) -> Column:
+    """A column without nulls that tells a null from every text."""
+    return F.when(F.col(name).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(name)))
+
+
+def blended(sketches: DataFrame, weight: int = PARENT_DOCS) -> DataFrame:
+    """lang, source, measure, bucket and n: each group's counts in millionths of documents, its parents' shares added at their weight."""
+    counts = sketches.select(_marked("lang").alias("l"), _marked("source").alias("s"), "lang", "source", "measure", "bucket", "n")
+    whole = counts.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
+    total = whole.groupBy("measure").agg(F.sum("n").alias("total"))
+    share = whole.join(total, "measure").select("measure", "bucket", F.expr(f"n * {_PPM}L div total").alias("share"))
+    for keys in (["l"], ["l", "s"]):
+        own = counts.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+        groups = own.select(*keys, "measure").distinct()
+        parent = [k for k in keys[:-1]] + ["measure"]
+        mixed = groups.join(share, parent).join(own, [*keys, "measure", "bucket"], "left")
+        mixed = mixed.select(*keys, "measure", "bucket", (F.coalesce("n", F.lit(0)) * _PPM + weight * F.col("share")).alias("n")).filter("n > 0")
+        total = mixed.groupBy(*keys, "measure").agg(F.sum("n").alias("total"))
+        share = mixed.join(total, [*keys, "measure"]).select(*keys, "measure", "bucket", F.expr(f"n div (total div {_PPM}L + 1)").alias("share"))
+    names = counts.select("l", "s", "lang", "source").distinct()
+    return mixed.join(names, ["l", "s"]).select("lang", "source", "measure", "bucket", "n")
+
+
+def thresholds(sketches: DataFrame, spread: int = SPREAD, weight: int = PARENT_DOCS) -> DataFrame:
     """lang, source and, for each measure, the least and the largest value that passes (thousandths)."""
-    own = _quartiles(sketches, ["lang", "source"])
-    lang = _quartiles(sketches, ["lang"]).select(F.col("lang").alias("lang_"), F.col("measure").alias("measure_"), *[F.col(c).alias(f"{c}_") for c in ("docs", "q1", "q2", "q3")])
-    whole = _quartiles(sketches, []).select(F.col("measure").alias("measure__"), *[F.col(c).alias(f"{c}__") for c in ("q1", "q2", "q3")])
-    rows = own.join(lang, own["lang"].eqNullSafe(lang["lang_"]) & (F.col("measure") == F.col("measure_"))).join(whole, F.col("measure") == F.col("measure__"))
-    for q in ("q1", "q2", "q3"):
-        rows = rows.withColumn(q, F.when(F.col("docs") >= min_docs, F.col(q)).when(F.col("docs_") >= min_docs, F.col(f"{q}_")).otherwise(F.col(f"{q}__")))
+    rows = _quartiles(blended(sketches, weight), ["lang", "source"])
     margin = F.element_at(F.create_map(*[x for m in MEASURES for x in (F.lit(m), F.lit(MARGINS[m]))]), F.col("measure"))
     width = spread * (F.col("q3") - F.col("q1")) + margin
     rows = rows.select("lang", "source", "measure", (F.col("q2") - width).alias("low"), (F.col("q2") + width).alias("high"))
@@ -103,10 +123,10 @@ def thresholds(sketches: DataFrame, spread: int = SPREAD, min_docs: int = MIN_DO
     )
 
 
-def judged(docs: DataFrame, spread: int = SPREAD, min_docs: int = MIN_DOCS) -> DataFrame:
+def judged(docs: DataFrame, spread: int = SPREAD, weight: int = PARENT_DOCS) -> DataFrame:
     """The measures of every row, base_failed and kept."""
     measured = reliable(measures(docs))
-    limits = reliable(thresholds(sketch(measured), spread, min_docs)).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"{m}_{s}" for m in MEASURES for s in ("low", "high")])
+    limits = reliable(thresholds(reliable(sketch(measured)), spread, weight)).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"{m}_{s}" for m in MEASURES for s in ("low", "high")])
     if limits.count() <= BROADCAST_GROUPS:  # ten numbers for each (lang, source); beyond, a shuffle join
         limits = F.broadcast(limits)
     rows = measured.join(limits, measured["lang"].eqNullSafe(F.col("_lang")) & measured["source"].eqNullSafe(F.col("_source")), "left")

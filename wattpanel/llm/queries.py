@@ -112,12 +112,17 @@ _MARGIN = {"symbols": 150, "length": 1500, "lines": 350, "repeats": 100}
 _LONG = " UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS measure, {x} AS x FROM base WHERE n_words > 0" for m, x in _MEASURE.items())
 
 
-def _quartiles(by: str) -> str:
-    keys = f"{by}, measure" if by else "measure"
-    q = ", ".join(f"min(bucket) FILTER (WHERE 4 * upto >= {k} * docs) AS q{k}" for k in (1, 2, 3))
-    return f"""SELECT {keys}, max(docs) AS docs, {q} FROM (
-        SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}) AS docs
-        FROM (SELECT {keys}, bucket, count(*) AS n FROM bucketed GROUP BY ALL)) GROUP BY ALL"""
+def _blend(name: str, keys: str, parent: str) -> str:
+    """SQL of a level of the blended sketches: groups by ``keys`` (comma-separated), the shares of the level above in ``parent``."""
+    by = f"{keys}, measure"
+    up = " AND ".join(f"g.{k} IS NOT DISTINCT FROM p.{k}" for k in [*keys.split(", ")[:-1], "measure"])
+    same = " AND ".join(f"c.{k} IS NOT DISTINCT FROM g.{k}" for k in by.split(", ")) + " AND c.bucket = p.bucket"
+    cols = ", ".join(f"g.{k}" for k in by.split(", "))
+    return f"""{name}_c AS (SELECT {by}, bucket, count(*) AS n FROM bucketed GROUP BY ALL),
+{name}_m AS (SELECT {cols}, p.bucket, coalesce(c.n, 0) * 1000000 + 50 * p.share AS n FROM (SELECT DISTINCT {by} FROM bucketed) g JOIN {parent} p ON {up}
+        LEFT JOIN {name}_c c ON {same}),
+{name} AS (SELECT *, n // (sum(n) OVER (PARTITION BY {by})::BIGINT // 1000000 + 1) AS share, sum(n) OVER (PARTITION BY {by} ORDER BY bucket)::BIGINT AS upto,
+        sum(n) OVER (PARTITION BY {by})::BIGINT AS total FROM {name}_m WHERE n > 0)"""
 
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -137,12 +142,10 @@ base AS (SELECT w.rid, doc_id, lang, source, len(words)::BIGINT AS n_words, leng
         coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines FROM w LEFT JOIN rep ON w.rid = rep.rid),
 long AS ({_LONG}),
 bucketed AS (SELECT rid, lang, source, measure, x, (x >> greatest(0, length(bin(x)) - 7)::BIGINT) << greatest(0, length(bin(x)) - 7)::BIGINT AS bucket FROM long),
-own AS ({_quartiles("lang, source")}), bylang AS ({_quartiles("lang")}), whole AS ({_quartiles("")}),
-limits AS (SELECT o.lang, o.source, o.measure,
-        CASE WHEN o.docs >= 200 THEN o.q1 WHEN l.docs >= 200 THEN l.q1 ELSE a.q1 END AS q1,
-        CASE WHEN o.docs >= 200 THEN o.q2 WHEN l.docs >= 200 THEN l.q2 ELSE a.q2 END AS q2,
-        CASE WHEN o.docs >= 200 THEN o.q3 WHEN l.docs >= 200 THEN l.q3 ELSE a.q3 END AS q3
-        FROM own o JOIN bylang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN whole a ON o.measure = a.measure),
+whole AS (SELECT measure, bucket, n * 1000000 // sum(n) OVER (PARTITION BY measure)::BIGINT AS share FROM (SELECT measure, bucket, count(*) AS n FROM bucketed GROUP BY ALL)),
+{_blend("bylang", "lang", "whole")},
+{_blend("own", "lang, source", "bylang")},
+limits AS (SELECT lang, source, measure, {", ".join(f"min(bucket) FILTER (WHERE 4 * upto >= {k} * total) AS q{k}" for k in (1, 2, 3))} FROM own GROUP BY ALL),
 margins AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {v})" for m, v in _MARGIN.items())}) t(measure, margin)),
 passed AS (SELECT rid, bool_and(x <= q2 + 3 * (q3 - q1) + margin AND (long.measure <> 'length' OR x >= q2 - 3 * (q3 - q1) - margin)) AS ok
         FROM long JOIN limits ON long.lang IS NOT DISTINCT FROM limits.lang AND long.source IS NOT DISTINCT FROM limits.source AND long.measure = limits.measure
