@@ -41,6 +41,7 @@ BLOCK_TAGS = frozenset(
 )
 CONTAINERS = frozenset("address article aside blockquote details dialog dl div fieldset figure footer form head header main menu nav ol section table td ul button select noscript object svg template label p h1 h2 h3 h4 h5 h6 li span a".split())
 RAW_TAGS = frozenset("script style textarea title iframe noembed noframes xmp noscript template svg select math canvas audio video object".split())
+TO_THE_END = frozenset("script style textarea title iframe noembed noframes xmp".split())  # of the raw ones: without an end tag they take the rest of the page
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_TAGS = frozenset("nav header footer aside form menu dialog head button fieldset label".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -95,8 +96,21 @@ def blocks(page: str) -> list[Block]:
     pieces: list[str] = []
     link_chars = 0
     stack: list[tuple[str, bool, bool]] = []  # tag, inside boilerplate, inside the article
+    places: dict[str, list[int]] = {}  # of each tag in the stack
+    block_places: list[int] = []
+    unclosed: set[str] = set()  # raw tags without an end tag from here on
     links = 0
 
+    def close(to: int) -> None:
+        """Take tags off the stack; each is put there and taken off once, so a page's tags cost in proportion to their number."""
+        nonlocal links
+        while len(stack) > to:
+            name = stack.pop()[0]
+            places[name].pop()
+            if name in BLOCK_TAGS:
+                block_places.pop()
+            links -= name == "a"
+
     def flush() -> None:
         nonlocal link_chars
         if pieces:
@@ -142,13 +156,10 @@ def blocks(page: str) -> list[Block]:
             if tag in BLOCK_TAGS:
                 flush()
             if tag in CONTAINERS:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        if tag not in BLOCK_TAGS and any(x[0] in BLOCK_TAGS for x in stack[i + 1 :]):
-                            break  # a stray inline end tag closes no block
-                        links -= sum(x[0] == "a" for x in stack[i:])
-                        del stack[i:]
-                        break
+                if places.get(tag):
+                    i = places[tag][-1]
+                    if tag in BLOCK_TAGS or not block_places or block_places[-1] < i:  # a stray inline end tag closes no block
+                        close(i)
         elif follows.isascii() and follows.isalpha():
             m = OPEN.match(page, cut)
             if m:
@@ -162,31 +173,33 @@ def blocks(page: str) -> list[Block]:
                 add(" ")
                 continue
             if tag in RAW_TAGS:
-                if not rest.endswith("/"):
+                if not rest.endswith("/") and tag not in unclosed:
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-                    at = end.end() if end else n
+                    if end:
+                        at = end.end()
+                    elif tag in TO_THE_END:
+                        at = n
+                    else:
+                        unclosed.add(tag)
                 continue
             if tag in BLOCK_TAGS:
                 flush()
             if tag in VOID_TAGS:
                 continue
             if tag in CLOSES_P or tag in ("li", "dd", "dt"):
-                for i in range(len(stack) - 1, -1, -1):
-                    name = stack[i][0]
-                    if name == "p" or name.startswith("h") and len(name) == 2 or tag == "li" and name == "li":
-                        links -= sum(x[0] == "a" for x in stack[i:])
-                        del stack[i:]
-                        break
-                    if name in BLOCK_TAGS:
-                        break
+                name = stack[block_places[-1]][0] if block_places else ""
+                if name == "p" or name.startswith("h") and len(name) == 2 or tag == "li" and name == "li":
+                    close(block_places[-1])
             if tag == "body":
-                stack.clear()
-                links = 0
+                close(0)
             elif tag in CONTAINERS and not rest.endswith("/"):
                 bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
                 named, main = _attributes(rest) if rest else (False, False)
                 marks = tag in ("article", "main") or main
                 inside_inline = tag in ("a", "span")
+                places.setdefault(tag, []).append(len(stack))
+                if tag in BLOCK_TAGS:
+                    block_places.append(len(stack))
                 stack.append((tag, bad or tag in BAD_TAGS or named and not marks and not inside_inline, article or marks))
                 links += tag == "a"
         else:
