@@ -4,12 +4,13 @@ A message's lines are read by quote level (the number of leading ``>``); lines o
 a passage.  Passages, their lines and their sentences are normalised (lower case, words only) and hashed.  A quoted passage is joined to the
 earliest message of its conversation in which the same passage stands unquoted, and each of its lines and sentences, as well as itself, to the
 earliest in which that stands as passage, line or sentence.  At the shallowest linked level the message most of whose whole passages
-a message quotes is the one it replies to; if equal (a trimmed quote has none), the one of which it quotes most words.  Threads are found by pointer doubling over these
+a message quotes is the one it replies to; if equal (a trimmed quote has none), the one of which it quotes most words, then the latest.  Threads are found by pointer doubling over these
 replies; in a conversation, messages are ordered by the turn of their thread's first message, then by turn, so that a reply
 follows what it answers.
 
 Messages are named by (conv_id, turn): rows that repeat a name are all kept and share a place.  A null conv_id is a conversation of
-its own; a null turn has no place in time, so such messages neither link nor are linked; null text is empty.  No step gathers a conversation in one place.
+its own; a null turn has no place in time, so such messages neither link nor are linked; null text is empty.  A message's own lines keep their indentation and
+blank lines.  No step gathers a conversation in one place.
 """
 
 from __future__ import annotations
@@ -30,18 +31,25 @@ WORDS = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?…。！？])\s+")
 
 
-def passages(text: str | None) -> list[tuple[int, str]]:
-    """(level, passage) in order; attribution lines before a quote are left out."""
+def _lines(text: str | None) -> list[tuple[int, str, bool]]:
+    """(level, line without marks and outer space, whether it ends a passage: blank or attributing the quote after it) in order."""
     lines = []
     for line in (text or "").split("\n"):
         m = MARKS.match(line)
         lines.append((m[1].count(">"), line[m.end() :].strip()) if m else (0, line.strip()))
+    out = []
+    for i, (depth, line) in enumerate(lines):
+        after = next((d for d, x in lines[i + 1 : i + 3] if x), depth)
+        out.append((depth, line, not line or bool(after > depth and ATTRIBUTION.match(line))))
+    return out
+
+
+def passages(text: str | None) -> list[tuple[int, str]]:
+    """(level, passage) in order; attribution lines before a quote are left out."""
     out: list[tuple[int, str]] = []
     now: list[str] = []
     level = 0
-    for i, (depth, line) in enumerate(lines):
-        after = next((d for d, x in lines[i + 1 : i + 3] if x), depth)
-        ends = not line or (after > depth and ATTRIBUTION.match(line))
+    for depth, line, ends in _lines(text):
         if (ends or depth != level) and now:
             out.append((level, "\n".join(now)))
             now = []
@@ -53,6 +61,29 @@ def passages(text: str | None) -> list[tuple[int, str]]:
     return out
 
 
+def unquoted(text: str | None) -> str:
+    """The text without quotes and their attribution lines: a message that quotes nothing as it stands, of another its own
+    lines as they stand, with one blank line where a quote was and none at either end."""
+    read = _lines(text)
+    if not any(depth and line for depth, line, _ in read):
+        return text or ""
+    kept: list[str] = []
+    gap = True
+    for raw, (depth, line, ends) in zip((text or "").split("\n"), read):
+        if depth or ends and line:
+            while kept and not kept[-1].strip():
+                kept.pop()
+            gap = True
+        elif line or not gap:
+            if gap and kept:
+                kept.append("")
+            kept.append(raw)
+            gap = False
+    while kept and not kept[-1].strip():
+        kept.pop()
+    return "\n".join(kept)
+
+
 def normal_hash(passage: str) -> int | None:
     """Signed hash of the passage's words in lower case; None if it has none."""
     words = WORDS.findall(passage.lower())
@@ -85,7 +116,7 @@ def parse(messages: DataFrame) -> DataFrame:
             texts, counts, own, quoted = [], [], [], []
             for value in batch.column(3):
                 parts = passages(value.as_py())
-                texts.append("\n\n".join(p for d, p in parts if d == 0))
+                texts.append(unquoted(value.as_py()))
                 counts.append(sum(d > 0 for d, _ in parts))
                 hashed = [(d, normal_hash(p), units(p)) for d, p in parts]
                 mine: dict[int, bool] = {}
