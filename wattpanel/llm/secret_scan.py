@@ -19,8 +19,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -144,10 +146,14 @@ def parts(token: str) -> list[tuple[int, int]]:
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int, str, int, int]]:
     """(start, end, encoding, length class, bin) of the candidate tokens and parts of tokens that touch no base span."""
     found = []
+    ordered = sorted((x, y) for x, y, _ in base)
+    starts = [x for x, _ in ordered]
+    reach = list(accumulate((y for _, y in ordered), max))  # how far the spans up to each one reach
     for m in TOKEN.finditer(text):
         for a, b in parts(m[0]):
             start, end = m.start() + a, m.start() + b
-            if any(x < end and start < y for x, y, _ in base):
+            before = bisect_left(starts, end)
+            if before and reach[before - 1] > start:
                 continue
             seen = judge(m[0][a:b])
             if seen:
