@@ -33,8 +33,11 @@ SELECT * EXCLUDE (b, rn) FROM (SELECT *, row_number() OVER (PARTITION BY county,
 
 
 def _new_rows(spark, sf):
-    p = fx.panel(spark, sf)
-    return p.filter(F.col("row_id") % 3 == 0).withColumn("target", F.col("target") + 1)
+    return _raised(fx.panel(spark, sf))
+
+
+def _raised(panel):
+    return panel.filter(F.col("row_id") % 3 == 0).withColumn("target", F.col("target") + 1)
 
 
 @query("upsert_latest", _UPSERT_SQL, ("panel",))
@@ -165,12 +168,16 @@ def stream_sliding_sum(spark, sf):
 @query("stream_compacted", _UPSERT_SQL, ("panel",))
 def stream_compacted(spark, sf):
     """``upsert_latest`` through a compacted state: six drops, drained by two runs of the same job, a snapshot every two batches."""
-    folder, state, checkpoint = (scratch_dir(p) for p in ("feed-", "state-", "stream-"))
-    for block, drops in enumerate((_thirds(fx.panel(spark, sf)), _thirds(_new_rows(spark, sf)))):
-        schema = _write_feed([d.withColumn(feeds.BLOCK, F.lit(block).cast("long")) for d in drops], f"{folder}/run={block}")
-        out = feeds.stream_state(spark, folder, schema, state, checkpoint, KEY, 2, 1)
-    remove_dir(spark, folder)
-    remove_dir(spark, checkpoint)
+    folder, state, checkpoint, stored = (scratch_dir(p) for p in ("feed-", "state-", "stream-", "panel-"))
+    fx.panel(spark, sf).repartitionByRange("datetime").write.parquet(stored)  # made once; a drop reads its own span
+    panel = spark.read.parquet(stored)
+    files = spark.sparkContext.defaultParallelism  # of a drop: it stays one micro-batch, however large
+    for block, drops in enumerate((_thirds(panel), _thirds(_raised(panel)))):
+        dealt = [d.withColumn(feeds.BLOCK, F.lit(block).cast("long")).repartition(files) for d in drops]
+        schema = _write_feed(dealt, f"{folder}/run={block}")
+        out = feeds.stream_state(spark, folder, schema, state, checkpoint, KEY, 2, files)
+    for path in (folder, checkpoint, stored):
+        remove_dir(spark, path)
     return out
 
 
