@@ -129,16 +129,21 @@ def stream_refresh_tables(spark, sf):
 @query("stream_features", _target_family_sql(), ("panel",))
 def stream_features(spark, sf):
     """Target features refreshed per arriving batch of items; equals the batch ``lag_fallback``."""
-    panel = fx.panel(spark, sf)
+    stored = scratch_dir("panel-")
+    fx.panel(spark, sf).repartitionByRange("datetime").write.parquet(stored)  # in the order of time: a batch reads its look-back only
+    panel = spark.read.parquet(stored)
     items = panel.drop("target")
 
     def build(batch):
-        start = lookback_min(batch, "datetime")
+        start, end = batch.agg(F.min("datetime"), F.max("datetime")).first()
         hist = lookback_prune(panel, "datetime", start, max(FT.TARGET_LAGS))
         return FT.target_features(batch.drop(feeds.BLOCK), hist)
 
-    return _streamed(spark, _thirds(items),
-                     lambda folder, schema, out, ck: feeds.stream_features(spark, folder, schema, out, ck, build, 8))
+    # The files of a drop go by time, too, so the items of a batch lie near each other.
+    out = _streamed(spark, [d.repartitionByRange("datetime") for d in _thirds(items)],
+                    lambda folder, schema, out, ck: feeds.stream_features(spark, folder, schema, out, ck, build, 8))
+    remove_dir(spark, stored)
+    return out
 
 
 @query("stream_dedupe", """
