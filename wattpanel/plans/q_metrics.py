@@ -35,7 +35,7 @@ EV = _ev_sql()
 
 
 def eval_frame(spark, sf):
-    p = fx.panel(spark, sf)
+    p = cut_lineage(fx.panel(spark, sf))
     e = L.lag_fallback(p, p, "target", [48, 168])
     e = e.select(*KEYS6, "target", F.col("target_48h").alias("p48"), F.col("target_168h").alias("p168"))
     return e.na.drop(subset=["p48", "p168"])
