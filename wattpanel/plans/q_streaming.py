@@ -137,6 +137,8 @@ def stream_features(spark, sf):
     def build(batch):
         start, end = batch.agg(F.min("datetime"), F.max("datetime")).first()
         hist = lookback_prune(panel, "datetime", start, max(FT.TARGET_LAGS))
+        if end is not None:
+            hist = hist.filter(F.col("datetime") <= F.lit(end))
         return FT.target_features(batch.drop(feeds.BLOCK), hist)
 
     # The files of a drop go by time, too, so the items of a batch lie near each other.
@@ -262,7 +264,7 @@ def stream_inference(spark, sf):
     target = panel.drop("row_id").withColumn(feeds.BLOCK, arrives(F.expr("datetime + INTERVAL 48 HOURS")))
     again = panel.filter("row_id % 3 = 0").drop("row_id").withColumns({
         "target": F.col("target") + 1, feeds.BLOCK: arrives(F.expr("datetime + INTERVAL 48 HOURS")) + 1})
-    whole = joined_inputs(spark, sf)
+    whole = joined_inputs(spark, sf, panel)
     items = panel.drop("target").join(whole, "row_id").withColumns({feeds.BLOCK: arrives("datetime"), "currently_scored": arrives("datetime") != IDLE})
     items = items.filter((F.col(feeds.BLOCK) == GAP) | F.col("whole")).drop("whole")
     drops = {"client": client.withColumn(feeds.BLOCK, arrives(F.expr("cast(date as timestamp) + INTERVAL 48 HOURS"))),
@@ -296,11 +298,11 @@ def stream_inference(spark, sf):
     return out
 
 
-def joined_inputs(spark, sf):
+def joined_inputs(spark, sf, panel):
     """row_id and whole: whether the row has client, forecast weather and both lags in the end."""
-    base = solar_frame(spark, sf, production_only=False)
-    norm = FT.normalised_target(fx.panel(spark, sf), fx.client(spark, sf))
-    lags = lag_fallback(fx.panel(spark, sf).select("row_id", *FT.SEGMENT, "datetime"), norm, "target_per_eic", [48, 168])
+    base = solar_frame(spark, sf, production_only=False, panel=panel)
+    norm = FT.normalised_target(panel, fx.client(spark, sf))
+    lags = lag_fallback(panel.select("row_id", *FT.SEGMENT, "datetime"), norm, "target_per_eic", [48, 168])
     needed = [*sorted(set(_FORECAST_REG.values())), "target_per_eic_48h", "target_per_eic_168h"]
     whole = reduce(and_, [F.col(c).isNotNull() for c in needed])
     return base.join(lags.select("row_id", "target_per_eic_48h", "target_per_eic_168h"), "row_id", "left").select("row_id", whole.alias("whole"))
