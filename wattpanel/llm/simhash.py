@@ -201,8 +201,9 @@ def link(prints: DataFrame, max_distance: int = 3) -> DataFrame:
         nodes = nodes.repartition(1 + nodes.count() // KEYED_ROWS)  # a node becomes about 85 key rows
         mine = _keyed(nodes, False)
         other = _keyed(nodes, True).select("key", F.col("fp").alias("fp2"), F.col("comp").alias("comp2"))
+        # Spark sizes what mapInArrow returns by the nodes that go in, so it would broadcast key rows of many times its threshold.
         more = (
-            mine.join(other, "key")
+            mine.join(other.hint("merge"), "key")
             .filter((F.col("comp") != F.col("comp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= max_distance))
             .select(F.col("comp").alias("u"), F.col("comp2").alias("v"))
         )
