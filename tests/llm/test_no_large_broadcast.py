@@ -31,3 +31,18 @@ def test_key_rows_are_not_broadcast(ten_mb, monkeypatch, tmp_path):
     assert got == {0: 0, 7: 0, 1 << 40: 0, (1 << 40) + 3: 0, 0x5555555555555555: 0x5555555555555555}
     keyed = [p.split("Initial Plan")[0] for p in plans if "MapInArrow" in p]
     assert len(keyed) == 1 and "SortMergeJoin" in keyed[0] and "BroadcastHashJoin" not in keyed[0]
+
+
+def test_steps_of_many_edges_are_not_broadcast(ten_mb, monkeypatch, tmp_path):
+    ten_mb.createDataFrame([(3, 2), (2, 1), (9, 8)], "u long, v long").write.parquet(f"{tmp_path}/edges")
+    edges = ten_mb.read.parquet(f"{tmp_path}/edges")
+    plans, star = [], simhash._star
+
+    def kept(*args):
+        plans.append(_plan(star(*args)))
+        return star(*args)
+
+    monkeypatch.setattr(simhash, "_star", kept)
+    monkeypatch.setattr(simhash, "MANY_EDGES", 2, raising=False)
+    assert sorted(tuple(r) for r in simhash.components(edges).collect()) == [(2, 1), (3, 1), (9, 8)]
+    assert plans and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)

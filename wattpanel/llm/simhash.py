@@ -29,6 +29,7 @@ from .common import ROW_NAME, packed, reliable, row_name, text_key, text_or_empt
 
 SEED = 42
 KEYED_ROWS = 20_000  # nodes whose keys one task makes
+MANY_EDGES = 100_000  # edges beyond which no star step may broadcast
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, width)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 _PLACE = (np.arange(8) * 256).astype(np.int64)
@@ -157,15 +158,18 @@ def _keyed(nodes: DataFrame, whole: bool) -> DataFrame:
     return nodes.select("fp", "comp").mapInArrow(run, "key int, fp long, comp long")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on edges (u, v) with u > v."""
+def _star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
+    """One star step on edges (u, v) with u > v.
+
+    Spark's size estimate leaves out the explode that edges come from, so the joins of ``many`` edges are told not to broadcast.
+    """
     if large:  # each larger neighbour, and the node itself, moves to the smallest neighbour
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = both.join(least.hint("merge") if many else least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        moved = edges.join(least.hint("merge") if many else least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
     return moved.distinct()
 
 
@@ -181,7 +185,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         state = now
-        edges = reliable(_star(_star(edges, True), False))
+        many = now[0] > MANY_EDGES
+        edges = reliable(_star(_star(edges, True, many), False, many))
 
 
 def link(prints: DataFrame, max_distance: int = 3) -> DataFrame:
